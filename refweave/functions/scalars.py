@@ -26,6 +26,16 @@ def lookup_key(kind: Column | str, *parts: Column) -> Column:
     return F.concat_ws(_SEP, kind, *(F.coalesce(p, F.lit(_NONE)) for p in parts))
 
 
+def key_parts(key: Column) -> tuple[Column, Column, Column]:
+    """Kind and two parts of a :func:`lookup_key`."""
+    parts = F.split(key, _SEP)
+
+    def part(n: int) -> Column:
+        return F.when(F.get(parts, F.lit(n)) != _NONE, F.get(parts, F.lit(n)))
+
+    return parts[0], part(1), part(2)
+
+
 def file_extension(filename: Column) -> Column:
     """Last suffix of the last path part, '' without one, null without a filename."""
     base = F.regexp_extract(filename, r"([^/]+)/*$", 1)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import (
     is_registering,
+    key_parts,
     lookup_key,
     owner,
     symbol_name,
@@ -26,13 +27,10 @@ from ..schema import FINDING
 ORD = ("file_ord", "pos")
 PROJECT = ("project",)
 FILE = ("project", "filename")
-TARGET = ("target_kind", "t1", "t2")
+TARGET = "target"
 
 # What the finder of a record gets to see of it.
-FOUND = [
-    "filename", "semantic", "row", "col", "end_row", "end_col",
-    "name_row", "name_col", "name_end_row", "name_end_col", "file_ord", "pos",
-]
+FOUND = ["filename", "semantic", "row", "col", "name_row", "name_col", "file_ord", "pos"]
 
 
 def order() -> Column:
@@ -60,63 +58,48 @@ def _no_text() -> Column:
 
 
 def usage_target(records: DataFrame) -> DataFrame:
-    """Add ``target_kind, t1, t2``: the thing whose usages the record asks for.
+    """Add ``target``: the thing whose usages the record asks for, null for none.
 
     A namespace is only looked up from a file with an extension.
     """
     sem = F.col("semantic")
-    kind = (
-        F.when(sem == "keyword", "keyword")
-        .when(sem.isin("local", "local_usage"), "local")
-        .when(sem.isin("var_definition", "var_usage"), "var")
-        .when(sem == "symbol", "symbol")
-        .when(sem == "java_class_usage", "java")
-        .when(sem.isin("namespace_definition", "namespace_usage") & (F.col("ext") != ""), "namespace")
-    )
-    t1 = (
-        F.when(kind == "keyword", F.col("ns"))
-        .when(kind == "local", F.col("filename"))
-        .when(kind == "var", owner())
-        .when(kind == "symbol", F.col("symbol"))
-        .when(kind == "java", F.col("class_name"))
-        .when(kind == "namespace", F.coalesce("name", "to_ns"))
-    )
-    t2 = (
-        F.when(kind.isin("keyword", "var"), F.col("name"))
-        .when(kind == "local", F.col("local_id").cast("string"))
-        .when(kind == "java", text_or_null("method_name"))
+    target = (
+        F.when(sem == "keyword", lookup_key("keyword", F.col("ns"), F.col("name")))
+        .when(sem.isin("local", "local_usage"), local_key())
+        .when(sem.isin("var_definition", "var_usage"), lookup_key("var", owner(), F.col("name")))
+        .when(sem == "symbol", lookup_key("symbol", F.col("symbol"), _no_text()))
+        .when(sem == "java_class_usage", lookup_key("java", F.col("class_name"), text_or_null("method_name")))
+        .when(
+            sem.isin("namespace_definition", "namespace_usage") & (F.col("ext") != ""),
+            lookup_key("namespace", F.coalesce("name", "to_ns"), _no_text()),
+        )
     )
-    return records.withColumns({"target_kind": kind, "t1": t1, "t2": t2})
+    return records.withColumn(TARGET, target)
 
 
 def definition_target(records: DataFrame) -> DataFrame:
     """Add the target whose definitions the record asks for; definitions ask for nothing."""
     sem = F.col("semantic")
-    kind = (
-        F.when(sem == "local_usage", "local")
-        .when(sem == "namespace_usage", "namespace")
-        .when(sem == "var_usage", "var")
-        .when(sem == "keyword", "keyword")
-        .when(sem == "symbol", "symbol")
-    )
-    t1 = (
-        F.when(kind == "local", F.col("filename"))
-        .when(kind == "namespace", F.coalesce("name", "to_ns"))
-        .when(kind == "var", F.coalesce("ns", "to_ns"))
-        .when(kind == "keyword", F.col("ns"))
-        .when(kind == "symbol", F.col("symbol"))
+    target = (
+        F.when(sem == "local_usage", local_key())
+        .when(sem == "namespace_usage", lookup_key("namespace", F.coalesce("name", "to_ns"), _no_text()))
+        .when(sem == "var_usage", lookup_key("var", F.coalesce("ns", "to_ns"), F.col("name")))
+        .when(sem == "keyword", lookup_key("keyword", F.col("ns"), F.col("name")))
+        .when(sem == "symbol", lookup_key("symbol", F.col("symbol"), _no_text()))
     )
-    t2 = F.when(kind.isin("keyword", "var"), F.col("name")).when(
-        kind == "local", F.col("local_id").cast("string")
-    )
-    return records.withColumns({"target_kind": kind, "t1": t1, "t2": t2})
+    return records.withColumn(TARGET, target)
+
+
+def local_key() -> Column:
+    """Ids of locals are unique within a file only."""
+    return lookup_key("local", F.col("filename"), F.col("local_id").cast("string"))
 
 
 def targets(asking: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:
     """Distinct targets with the number of askers.  Combined before the shuffle."""
     return (
-        asking.where(F.col("target_kind").isNotNull())
-        .groupBy(*unit, *TARGET)
+        asking.where(F.col(TARGET).isNotNull())
+        .groupBy(*unit, TARGET)
         .agg(F.count("*").alias("n_asked"))
     )
 
@@ -124,42 +107,32 @@ def targets(asking: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:
 # -- probes: the keys of a target --------------------------------------------------
 
 
-def usage_probes() -> Column:
-    """Keys to look up, in list order; vars and symbols also find each other."""
-    kind, t1, t2 = (F.col(c) for c in TARGET)
-    var_text = F.when(t1.isNull(), t2).otherwise(F.concat(t1, F.lit("/"), t2))
+def _probe(branch: int, key: Column) -> Column:
+    return F.struct(F.lit(branch).alias("branch"), key.alias("key"))
 
-    def probe(key: Column, branch: int) -> Column:
-        return F.struct(F.lit(branch).alias("branch"), key.alias("key"))
 
+def usage_probes() -> Column:
+    """Keys to look up, in list order: the target itself; vars and symbols find each other too."""
+    kind, t1, t2 = key_parts(F.col(TARGET))
+    text = F.when(t1.isNull(), t2).otherwise(F.concat(t1, F.lit("/"), t2))
+    own = _probe(0, F.col(TARGET))
     return (
-        F.when(
-            kind == "var",
-            F.array(
-                probe(lookup_key("var", t1, t2), 0),
-                probe(lookup_key("symbol", var_text, _no_text()), 1),
-            ),
-        )
+        F.when(kind == "var", F.array(own, _probe(1, lookup_key("symbol", text, _no_text()))))
         .when(
             kind == "symbol",
-            F.array(
-                probe(lookup_key("symbol", t1, _no_text()), 0),
-                probe(lookup_key("var", symbol_namespace(t1), symbol_name(t1)), 1),
-            ),
+            F.array(own, _probe(1, lookup_key("var", symbol_namespace(t1), symbol_name(t1)))),
         )
-        .when(
-            (kind == "java") & t2.isNotNull(), F.array(probe(lookup_key("java-method", t1, t2), 0))
-        )
-        .otherwise(F.array(probe(lookup_key(kind, t1, t2), 0)))
+        .otherwise(F.array(own))
     )
 
 
 def definition_probes() -> Column:
-    kind, t1, t2 = (F.col(c) for c in TARGET)
+    """The one key to look up: the target, or the var that a symbol names."""
+    kind, t1, _ = key_parts(F.col(TARGET))
     key = F.when(
         kind == "symbol", lookup_key("var", symbol_namespace(t1), symbol_name(t1))
-    ).otherwise(lookup_key(kind, t1, t2))
-    return F.array(F.struct(F.lit(0).alias("branch"), key.alias("key")))
+    ).otherwise(F.col(TARGET))
+    return F.array(_probe(0, key))
 
 
 # -- entries: the keys a record is found under -------------------------------------
@@ -173,21 +146,20 @@ def usage_entries(records: DataFrame, registering: bool = False) -> DataFrame:
     )
     if not registering:
         used = used.where((sem != "keyword") | ~is_registering())
-    none = _no_text()
-    method = text_or_null("method_name")
     key = (
         F.when(sem == "keyword", lookup_key("keyword", F.col("ns"), F.col("name")))
-        .when(sem == "local_usage", lookup_key("local", F.col("filename"), F.col("local_id").cast("string")))
+        .when(sem == "local_usage", local_key())
         .when(sem == "var_usage", lookup_key("var", F.col("to_ns"), F.col("name")))
-        .when(sem == "symbol", lookup_key("symbol", F.col("symbol"), none))
-        .when(sem == "java_class_usage", lookup_key("java", F.col("class_name"), none))
-        .when(sem == "namespace_usage", lookup_key("namespace", F.col("to_ns"), none))
+        .when(sem == "symbol", lookup_key("symbol", F.col("symbol"), _no_text()))
+        .when(sem == "java_class_usage", lookup_key("java", F.col("class_name"), _no_text()))
+        .when(sem == "namespace_usage", lookup_key("namespace", F.col("to_ns"), _no_text()))
     )
-    with_method = F.when(
-        (sem == "java_class_usage") & method.isNotNull(),
-        lookup_key("java-method", F.col("class_name"), method),
+    # A Java usage with a method is found a second time; reads that kind's files only.
+    method = text_or_null("method_name")
+    by_method = records_of(records, "java_class_usage").where(method.isNotNull())
+    return used.withColumn("key", key).unionByName(
+        by_method.withColumn("key", lookup_key("java", F.col("class_name"), method))
     )
-    return used.withColumn("key", F.explode(F.array_compact(F.array(key, with_method))))
 
 
 def last_bindings(records: DataFrame) -> DataFrame:
@@ -203,7 +175,7 @@ def definition_entries_of(defined: DataFrame) -> DataFrame:
     sem = F.col("semantic")
     key = (
         F.when(sem == "keyword", lookup_key("keyword", F.col("ns"), F.col("name")))
-        .when(sem == "local", lookup_key("local", F.col("filename"), F.col("local_id").cast("string")))
+        .when(sem == "local", local_key())
         .when(sem == "var_definition", lookup_key("var", F.col("ns"), F.col("name")))
         .when(sem == "namespace_definition", lookup_key("namespace", F.col("name"), _no_text()))
     )
@@ -224,7 +196,7 @@ def definition_entries(records: DataFrame) -> DataFrame:
 def namespace_rows(records: DataFrame) -> DataFrame:
     """Row entries of namespace usages: one for the name and one for the alias, same row or not."""
     usages = records_of(records, "namespace_usage")
-    rows = F.array_compact(
-        F.array(F.col("name_row"), F.when(F.col("alias") != "", F.col("alias_row")))
+    by_alias = usages.where(F.col("alias") != "")
+    return usages.withColumn("idx_row", F.col("name_row")).unionByName(
+        by_alias.withColumn("idx_row", F.col("alias_row"))
     )
-    return usages.withColumn("idx_row", F.explode(rows))

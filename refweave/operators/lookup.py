@@ -24,8 +24,8 @@ def answers(
     the found side only, which adaptive execution splits.
     """
     found = [c for c in FOUND if c not in unit]
-    probed = asked.select(*unit, *TARGET, *carry, F.explode(probes).alias("p")).select(
-        *unit, *TARGET, *carry, "p.branch", "p.key"
+    probed = asked.select(*unit, TARGET, *carry, F.explode(probes).alias("p")).select(
+        *unit, TARGET, *carry, "p.branch", "p.key"
     )
     return probed.join(entries.select(*unit, "key", *found), [*unit, "key"]).drop("key")
 
@@ -104,8 +104,8 @@ def namespace_usages(records: DataFrame, unit: Sequence[str] = PROJECT) -> DataF
 
 def var_definitions(records: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:
     """Definitions of every var asked for, by a definition or by a usage."""
-    asking = ix.records_of(records, "var_definition", "var_usage").withColumns(
-        {"target_kind": F.lit("var"), "t1": F.coalesce("ns", "to_ns"), "t2": F.col("name")}
+    asking = ix.records_of(records, "var_definition", "var_usage").withColumn(
+        TARGET, lookup_key("var", F.coalesce("ns", "to_ns"), F.col("name"))
     )
     return answers(
         ix.targets(asking, unit), ix.definition_probes(), ix.definition_entries(records), unit
@@ -113,12 +113,8 @@ def var_definitions(records: DataFrame, unit: Sequence[str] = PROJECT) -> DataFr
 
 
 def namespace_definitions(records: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:
-    asking = ix.records_of(records, "namespace_definition", "namespace_usage").withColumns(
-        {
-            "target_kind": F.lit("namespace"),
-            "t1": F.coalesce("name", "to_ns"),
-            "t2": F.lit(None).cast("string"),
-        }
+    asking = ix.records_of(records, "namespace_definition", "namespace_usage").withColumn(
+        TARGET, lookup_key("namespace", F.coalesce("name", "to_ns"), F.lit(None).cast("string"))
     )
     return answers(
         ix.targets(asking, unit), ix.definition_probes(), ix.definition_entries(records), unit
@@ -160,13 +156,12 @@ def local_usages(records: DataFrame) -> DataFrame:
 
 def mark_first(found: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:
     """Flag the first row of each target in index order."""
-    first = found.groupBy(*unit, *TARGET).agg(
-        F.min(F.struct("branch", *ix.ORD)).alias("_first")
-    )
-    conditions = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*unit, *TARGET)]
-    joined = found.alias("a").join(first.alias("f"), conditions, "left")
-    return joined.select(
-        "a.*", (F.struct("a.branch", *(f"a.{c}" for c in ix.ORD)) == F.col("f._first")).alias("is_first")
+    order_ = F.struct("branch", *ix.ORD)
+    first = found.groupBy(*unit, TARGET).agg(F.min(order_).alias("_first"))
+    return (
+        found.join(first, [*unit, TARGET])
+        .withColumn("is_first", order_ == F.col("_first"))
+        .drop("_first")
     )
 
 

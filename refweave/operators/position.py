@@ -48,36 +48,34 @@ def hit_regions(records: DataFrame, payload: Sequence[str]) -> DataFrame:
         "namespace_usage", "namespace_definition", "java_class_usage", "symbol",
     )
 
-    def hit(kind: Column, idx_row: Column, where: Column) -> Column:
+    def hits(found: DataFrame, kind: Column, idx_row: Column, where: Column) -> DataFrame:
         priority = F.lit(None).cast("int")
         for n, name in enumerate(PRIORITY):
             priority = F.when(kind == name, n).otherwise(priority)
-        return F.struct(
-            kind.alias("hit_type"), priority.alias("priority"), idx_row.alias("idx_row"), where.alias("region")
+        return found.select(
+            "project",
+            "filename",
+            F.col("pos").alias("hit_pos"),
+            kind.alias("hit_type"),
+            priority.alias("priority"),
+            idx_row.alias("idx_row"),
+            *(where[c].alias(c) for c in REGION),
+            F.struct(*payload).alias("payload"),
         )
 
     kind = sem
     for semantic, name in _TYPE_OF_SEMANTIC.items():
         kind = F.when(sem == semantic, name).otherwise(kind)
     own_row = F.when(sem.isin(*_ROW_OF_FORM), F.col("row")).otherwise(F.col("name_row"))
-    aliased = (sem == "namespace_usage") & (F.col("alias") != "")
-    other_row = aliased & (F.col("alias_row") != F.col("name_row"))
+    # Aliases add to one kind only, so these branches read that kind's files.
+    aliased = ix.records_of(records, "namespace_usage").where(F.col("alias") != "")
+    elsewhere = aliased.where(F.col("alias_row") != F.col("name_row"))
     by_alias = F.lit("namespace_usage_alias")
-    hits = F.array(
-        hit(kind, own_row, region()),
-        F.when(other_row, hit(kind, F.col("alias_row"), region())),
-        F.when(aliased, hit(by_alias, F.col("name_row"), alias_region())),
-        F.when(other_row, hit(by_alias, F.col("alias_row"), alias_region())),
-    )
-    return usable.withColumn("hit", F.explode(F.array_compact(hits))).select(
-        "project",
-        "filename",
-        F.col("pos").alias("hit_pos"),
-        "hit.hit_type",
-        "hit.priority",
-        "hit.idx_row",
-        *(F.col(f"hit.region.{c}").alias(c) for c in REGION),
-        F.struct(*payload).alias("payload"),
+    return (
+        hits(usable, kind, own_row, region())
+        .unionByName(hits(aliased, by_alias, F.col("alias_row"), alias_region()))
+        .unionByName(hits(elsewhere, by_alias, F.col("name_row"), alias_region()))
+        .unionByName(hits(elsewhere, sem, F.col("alias_row"), region()))
     )
 
 

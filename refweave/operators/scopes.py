@@ -11,11 +11,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import clean_doc, lookup_key, symbol_name, symbol_namespace
+from ..functions.scalars import (
+    clean_doc,
+    definition_extensions,
+    lookup_key,
+    own_extension,
+    symbol_name,
+    symbol_namespace,
+)
+from ..schema import SCOPE_SEMANTICS
 from . import index as ix
-from .dedupe import dedupe
+from .dedupe import dedupe_answers
 from .index import FILE, FOUND, TARGET
-from .lookup import first_definition
 
 
 def _known(entries: DataFrame, unit: Sequence[str], name: str) -> DataFrame:
@@ -29,12 +36,12 @@ def rank_scopes(
 
     Scopes shrink to one count per key before the join, so every join is n:1.
     """
-    probed = asked.select(*FILE, *TARGET, "n_asked", F.explode(probes).alias("p")).select(
-        *FILE, *TARGET, "n_asked", "p.key"
+    probed = asked.select(*FILE, TARGET, "n_asked", F.explode(probes).alias("p")).select(
+        *FILE, TARGET, "n_asked", "p.key"
     )
     for scope, entries, unit in entries_by_scope:
         probed = probed.join(_known(entries, unit, f"n_{scope}"), [*unit, "key"], "left")
-    summed = probed.groupBy(*FILE, *TARGET).agg(
+    summed = probed.groupBy(*FILE, TARGET).agg(
         F.max("n_asked").alias("n_asked"),
         *(F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"n_{s}") for s, _, _ in entries_by_scope),
     )
@@ -56,10 +63,10 @@ def list_answers(
     for scope, entries, unit in entries_by_scope:
         won = (
             ranked.where(F.col("answer_scope") == scope)
-            .groupBy(*unit, *TARGET)
+            .groupBy(*unit, TARGET)
             .agg(F.sum("n_asked").alias("n_asked"))
-            .select(*unit, *TARGET, "n_asked", F.explode(probes).alias("p"))
-            .select(*unit, *TARGET, "n_asked", "p.branch", "p.key")
+            .select(*unit, TARGET, "n_asked", F.explode(probes).alias("p"))
+            .select(*unit, TARGET, "n_asked", "p.branch", "p.key")
         )
         in_view = "filename" in unit
         rows = won.join(
@@ -68,21 +75,17 @@ def list_answers(
             F.lit(scope).alias("answer_scope"),
             "project",
             (F.col("filename") if in_view else F.lit(None).cast("string")).alias("asking_file"),
-            *TARGET, "n_asked", "branch", "filename", *found,
+            TARGET, "n_asked", "branch", "filename", *found,
         )
         parts.append(rows)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return dedupe(
-        out, ["answer_scope", "project", "asking_file", *TARGET], ["branch", "file_ord", "pos"]
-    )
+    return dedupe_answers(out, ["answer_scope", "project", "asking_file", TARGET])
 
 
 def in_scope(records: DataFrame, scope: str) -> DataFrame:
     """Records a scope answers from.  Every file is open in a view of its own."""
-    from ..schema import SCOPE_SEMANTICS
-
     seen = records if scope == "view" else records.where(F.col("scope") == scope)
     return seen.where(F.col("semantic").isin(*SCOPE_SEMANTICS[scope]))
 
@@ -93,76 +96,87 @@ def _scoped(records: DataFrame, entries, order: Sequence[str]):
     ]
 
 
-def definitions_by_scope(asking: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _definition_scopes(records: DataFrame):
+    return _scoped(records, ix.definition_entries, ["view", "paths", "classpath"])
+
+
+def rank_definitions(asking: DataFrame, records: DataFrame) -> DataFrame:
     """Go to definition: the view, then the project's sources, then its libraries."""
     asked = ix.targets(ix.definition_target(asking), FILE)
-    scopes = _scoped(records, ix.definition_entries, ["view", "paths", "classpath"])
-    ranked = rank_scopes(asked, ix.definition_probes(), scopes)
-    return ranked, list_answers(ranked, ix.definition_probes(), scopes)
+    return rank_scopes(asked, ix.definition_probes(), _definition_scopes(records))
 
 
-def usages_by_scope(asking: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Find usages: the project's sources, then the view."""
-    asked = ix.targets(ix.usage_target(asking), FILE)
-    scopes = _scoped(records, ix.usage_entries, ["paths", "view"])
-    ranked = rank_scopes(asked, ix.usage_probes(), scopes)
-    return ranked, list_answers(ranked, ix.usage_probes(), scopes)
+def list_definitions(ranked: DataFrame, records: DataFrame) -> DataFrame:
+    return list_answers(ranked, ix.definition_probes(), _definition_scopes(records))
+
 
+def _usage_scopes(records: DataFrame, view_only: bool):
+    return _scoped(records, ix.usage_entries, ["view"] if view_only else ["paths", "view"])
 
-def usages_in_view(asking: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def rank_usages(asking: DataFrame, records: DataFrame, view_only: bool = False) -> DataFrame:
+    """Find usages: the project's sources, then the view; or the view alone."""
     asked = ix.targets(ix.usage_target(asking), FILE)
-    scopes = _scoped(records, ix.usage_entries, ["view"])
-    ranked = rank_scopes(asked, ix.usage_probes(), scopes)
-    return ranked, list_answers(ranked, ix.usage_probes(), scopes)
+    return rank_scopes(asked, ix.usage_probes(), _usage_scopes(records, view_only))
+
+
+def list_usages(ranked: DataFrame, records: DataFrame, view_only: bool = False) -> DataFrame:
+    return list_answers(ranked, ix.usage_probes(), _usage_scopes(records, view_only))
+
+
+_CARD = ("filename", "row", "col", "name_row", "name_col", "name", "ns", "arglist_strs", "doc")
+# Docs are looked up in another order than definitions.  Fixed values.
+_CARD_SCOPES = ("view", "classpath", "paths")
 
 
 def doc_cards(asking: DataFrame, records: DataFrame) -> DataFrame:
     """Name, place, arguments and docstring of the first definition of what is asked for.
 
-    Looks in the view, then in libraries, then in the project's sources.
-    Asked per distinct ``(file, key, extension)``; ``n_asked`` carets share a card.
+    Looks in the view, then in libraries, then in the project's sources.  Definitions
+    shrink to the first per scope, key and extension, so a question meets a dozen
+    candidates at most.  Asked per distinct ``(file, key, extension)``; carets share cards.
     """
     sem = F.col("semantic")
-    kinds = sem.isin("var_definition", "var_usage", "namespace_definition", "namespace_usage", "symbol")
-    namespace = sem.isin("namespace_definition", "namespace_usage")
     none = F.lit(None).cast("string")
     asked_key = (
-        F.when(namespace, lookup_key("namespace", F.coalesce("name", "to_ns"), none))
+        F.when(
+            sem.isin("namespace_definition", "namespace_usage"),
+            lookup_key("namespace", F.coalesce("name", "to_ns"), none),
+        )
         .when(sem == "symbol", lookup_key("var", symbol_namespace(F.col("symbol")), symbol_name(F.col("symbol"))))
-        .otherwise(lookup_key("var", F.coalesce("ns", "to_ns"), F.col("name")))
+        .when(sem.isin("var_definition", "var_usage"), lookup_key("var", F.coalesce("ns", "to_ns"), F.col("name")))
     )
+    # A symbol takes a definition from a file with any extension.
     asked = (
-        asking.where(kinds)
-        .select(*FILE, asked_key.alias("key"), "ext", (sem == "symbol").alias("any_ext"))
+        asking.select(*FILE, asked_key.alias("key"), "ext", (sem == "symbol").alias("any_ext"))
+        .where(F.col("key").isNotNull())
         .groupBy(*FILE, "key", "ext", "any_ext")
         .agg(F.count("*").alias("n_asked"))
     )
-    payload = ("filename", "row", "col", "name_row", "name_col", "name", "ns", "arglist_strs", "doc")
-
-    def keyed(scope: str) -> DataFrame:
-        defs = in_scope(records, scope).where(F.col("semantic").isin("namespace_definition", "var_definition"))
-        return ix.definition_entries_of(defs)
-
-    cards = asked
-    for scope, unit in (("view", FILE), ("classpath", ix.PROJECT), ("paths", ix.PROJECT)):
-        defs = keyed(scope)
-        fitting = first_definition(
-            asked.where(~F.col("any_ext")).select(*unit, "key", "ext").distinct(), defs, ["key"], unit, payload
-        ).select(*unit, "key", "ext", F.lit(False).alias("any_ext"), F.col("definition").alias(scope))
-        any_ = (
-            defs.groupBy(*unit, "key").agg(F.min_by(F.struct(*payload), ix.order()).alias(scope))
-            .join(asked.where("any_ext").select(*unit, "key", "ext").distinct(), [*unit, "key"])
-            .select(*unit, "key", "ext", F.lit(True).alias("any_ext"), scope)
-        )
-        cards = cards.join(fitting.unionByName(any_), [*unit, "key", "ext", "any_ext"], "left")
-    found = cards.withColumn("d", F.coalesce("view", "classpath", "paths")).withColumn(
-        "answer_scope",
-        F.when(F.col("view").isNotNull(), "view")
-        .when(F.col("classpath").isNotNull(), "classpath")
-        .when(F.col("paths").isNotNull(), "paths"),
+    defs = ix.definition_entries_of(
+        records.where(sem.isin("namespace_definition", "var_definition"))
+    ).withColumn("def_ext", own_extension(F.col("ext")))
+    firsts = [F.min_by(F.struct(*_CARD), ix.order()).alias("card"), F.min(ix.order()).alias("ord")]
+    in_view = defs.groupBy(*FILE, "key", "def_ext").agg(*firsts).withColumn("answer_scope", F.lit("view"))
+    in_project = (
+        defs.withColumnRenamed("scope", "answer_scope").groupBy("project", "key", "def_ext", "answer_scope").agg(*firsts)
+    )
+    rank = F.lit(None).cast("int")
+    for n, scope in enumerate(_CARD_SCOPES):
+        rank = F.when(F.col("answer_scope") == scope, n).otherwise(rank)
+    columns = [*FILE, "key", "ext", "any_ext", "n_asked", "answer_scope", "def_ext", "card", "ord"]
+    candidates = (
+        asked.join(in_view, [*FILE, "key"]).select(*columns)
+        .unionByName(asked.join(in_project, ["project", "key"]).select(*columns))
+        .where(F.col("any_ext") | F.array_contains(definition_extensions(F.col("ext")), F.col("def_ext")))
+    )
+    found = (
+        candidates.groupBy(*FILE, "key", "ext", "any_ext", "n_asked")
+        .agg(F.min_by(F.struct("answer_scope", "card"), F.struct(rank, "ord")).alias("d"))
+        .select(*FILE, "key", "ext", "any_ext", "n_asked", "d.answer_scope", F.col("d.card").alias("d"))
     )
     ns, name = F.col("d.ns"), F.coalesce("d.name", F.lit(""))
-    return found.where(F.col("d").isNotNull()).select(
+    return found.select(
         *FILE, "key", "ext", "any_ext", "n_asked", "answer_scope",
         F.when(ns != "", F.concat(ns, F.lit("/"), name)).otherwise(name).alias("qualified_name"),
         F.col("d.filename").alias("def_filename"),

@@ -21,7 +21,7 @@ from ..operators import position as ps
 from ..operators import regions as rg
 from ..operators import rewrite as rw
 from ..operators import scopes as sp
-from ..operators.dedupe import dedupe, mark_single
+from ..operators.dedupe import dedupe, dedupe_answers, mark_single
 from ..operators.report import usage_report
 from ..session import derived_table, scratch, spread
 from ..sources import documents as docs
@@ -108,8 +108,9 @@ def as_editor_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _target() -> list[Column | str]:
-    return ["target_kind", "t1", "t2"]
+def _target() -> list[Column]:
+    kind, t1, t2 = sc.key_parts(F.col(ix.TARGET))
+    return [kind.alias("target_kind"), t1.alias("t1"), t2.alias("t2")]
 
 
 # -- scans, filters, key views -------------------------------------------------------
@@ -426,16 +427,16 @@ def ns_var_usages(spark, sf):
 def usages(spark, sf):
     """Usages of everything, one row per place; a single one is where an editor goes directly."""
     r = records(spark, sf)
-    group = ["project", *ix.TARGET]
-    listed = dedupe(lk.find_usages(ix.valid_records(r), r), group, ["branch", *ix.ORD])
+    group = ["project", ix.TARGET]
+    listed = dedupe_answers(lk.find_usages(ix.valid_records(r), r), group)
     return mark_single(listed, group).select("project", *_target(), *_FOUND, "is_single")
 
 
 @query
 def definitions(spark, sf):
     r = records(spark, sf)
-    group = ["project", *ix.TARGET]
-    listed = dedupe(lk.find_definitions(ix.valid_records(r), r), group, ["branch", *ix.ORD])
+    group = ["project", ix.TARGET]
+    listed = dedupe_answers(lk.find_definitions(ix.valid_records(r), r), group)
     return mark_single(listed, group).select("project", *_target(), *_FOUND, "is_single")
 
 
@@ -474,41 +475,58 @@ def require_sites(spark, sf):
 
 # -- scopes ------------------------------------------------------------------------------
 
-_RANKED = ["project", "filename", "target_kind", "t1", "t2", "n_asked"]
-_ANSWER = [
-    "answer_scope", "project", "asking_file", "target_kind", "t1", "t2", "n_asked", "filename", "row", "col", "semantic",
-]
+
+
+def definition_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which scope answers each question for definitions."""
+    return derived_table(
+        spark, "definition_ranks", sf,
+        lambda: sp.rank_definitions(asked(spark, sf), records(spark, sf)),
+    )
+
+
+def usage_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which scope answers each question for usages."""
+    return derived_table(
+        spark, "usage_ranks", sf,
+        lambda: sp.rank_usages(asked(spark, sf), records(spark, sf)),
+    )
+
+
+def _ranked(df: DataFrame, *counts: str) -> DataFrame:
+    return df.select("project", "filename", *_target(), "n_asked", *counts, "answer_scope")
+
+
+def _answers(df: DataFrame) -> DataFrame:
+    return df.select(
+        "answer_scope", "project", "asking_file", *_target(), "n_asked", "filename", "row", "col", "semantic"
+    )
 
 
 @query
 def definitions_by_scope(spark, sf):
     """Per file and target: which scope answers, and how many records each holds."""
-    ranked, _ = sp.definitions_by_scope(asked(spark, sf), records(spark, sf))
-    return ranked.select(*_RANKED, "n_view", "n_paths", "n_classpath", "answer_scope")
+    return _ranked(definition_ranks(spark, sf), "n_view", "n_paths", "n_classpath")
 
 
 @query
 def definition_answers(spark, sf):
-    _, answers = sp.definitions_by_scope(asked(spark, sf), records(spark, sf))
-    return answers.select(*_ANSWER)
+    return _answers(sp.list_definitions(definition_ranks(spark, sf), records(spark, sf)))
 
 
 @query
 def usages_by_scope(spark, sf):
-    ranked, _ = sp.usages_by_scope(asked(spark, sf), records(spark, sf))
-    return ranked.select(*_RANKED, "n_paths", "n_view", "answer_scope")
+    return _ranked(usage_ranks(spark, sf), "n_paths", "n_view")
 
 
 @query
 def usage_answers(spark, sf):
-    _, answers = sp.usages_by_scope(asked(spark, sf), records(spark, sf))
-    return answers.select(*_ANSWER)
+    return _answers(sp.list_usages(usage_ranks(spark, sf), records(spark, sf)))
 
 
 @query
 def usages_in_view(spark, sf):
-    ranked, _ = sp.usages_in_view(asked(spark, sf), records(spark, sf))
-    return ranked.select(*_RANKED, "n_view", "answer_scope")
+    return _ranked(sp.rank_usages(asked(spark, sf), records(spark, sf), view_only=True), "n_view")
 
 
 @query
@@ -522,7 +540,8 @@ def doc_cards(spark, sf):
 
 @query
 def usage_report_lines(spark, sf):
-    return usage_report(asked(spark, sf), records(spark, sf)).select(
+    report = usage_report(asked(spark, sf), usage_ranks(spark, sf), records(spark, sf))
+    return report.select(
         "project", "shown_name", "part", "filename", "row", "col", "line"
     )
 
@@ -541,7 +560,10 @@ def deduped(spark, sf):
     """One record per place of a file, whatever its kind: the last wins."""
     r = ix.valid_records(records(spark, sf)).select("project", "filename", "row", "col", "semantic", "file_ord", "pos")
     d = dedupe(r, ["project", "filename"], ["semantic", "file_ord", "pos"])
-    return d.select("project", "filename", "row", "col", "semantic", "n_same_place", F.col("list_ord.semantic").alias("first_semantic"))
+    return d.select(
+        "project", "filename", "row", "col", "semantic", "n_same_place",
+        F.col("list_ord.semantic").alias("first_semantic"),
+    )
 
 
 @query
@@ -633,7 +655,8 @@ def highlights(spark, sf):
 
 @query
 def highlight_counts(spark, sf):
-    return rg.highlight_counts(rg.highlights(asked(spark, sf), records(spark, sf), highlight_self=True))
+    counts = rg.highlight_counts(asked(spark, sf), records(spark, sf), highlight_self=True)
+    return counts.select("project", "filename", "n_carets", "n_highlighted")
 
 
 def _rename_regions(spark, sf) -> tuple[DataFrame, DataFrame]:

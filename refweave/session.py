@@ -22,6 +22,10 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small tables in many files, so that all cores read them.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16m")
+        # Hash instead of sort where every partition of one side turns out to be small.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .getOrCreate()
     )
 

@@ -103,7 +103,8 @@ def _semantics() -> Column:
         "symbol": size.between(12, 15),
         "finding": size >= 16,
     }
-    return F.array_compact(F.array(*(F.when(rule, F.lit(sem)) for sem, rule in rules.items())))
+    # Joined and split again: unlike a filtered array this stays in generated code.
+    return F.split(F.concat_ws(" ", *(F.when(rule, F.lit(sem)) for sem, rule in rules.items())), " ")
 
 
 def records(documents: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def records(documents: DataFrame) -> DataFrame:
         "type": F.when(sem == "finding", F.lit("long-token")),
         "message": F.when(sem == "finding", F.concat(F.lit("Token too long: "), name)),
     }
-    tagged = tokens(documents).withColumn("semantic", F.explode(_semantics()))
+    tagged = tokens(documents).withColumn("semantic", F.explode(_semantics())).where(sem != "")
     return tagged.select(
         "project",
         _scope().alias("scope"),
