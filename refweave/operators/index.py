@@ -163,11 +163,14 @@ def usage_entries(records: DataFrame, registering: bool = False) -> DataFrame:
 
 
 def last_bindings(records: DataFrame) -> DataFrame:
-    """One binding per local id: a later one replaces an earlier one."""
+    """One binding per local id: a later one replaces an earlier one.
+
+    The last position is found by a hash aggregate over numbers, and the join back
+    brings the rest of the record.
+    """
     locals_ = records_of(records, "local")
-    return locals_.groupBy("project", "filename", "local_id").agg(
-        F.max_by(F.struct(*[c for c in locals_.columns if c not in ("project", "filename", "local_id")]), order()).alias("b")
-    ).select("project", "filename", "local_id", "b.*")
+    last = locals_.groupBy("project", "filename", "local_id").agg(F.max("pos").alias("pos"))
+    return locals_.join(last, ["project", "filename", "local_id", "pos"])
 
 
 def definition_entries_of(defined: DataFrame) -> DataFrame:

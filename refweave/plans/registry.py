@@ -428,7 +428,11 @@ def usages(spark, sf):
     """Usages of everything, one row per place; a single one is where an editor goes directly."""
     r = records(spark, sf)
     group = ["project", ix.TARGET]
-    listed = dedupe_answers(lk.find_usages(ix.valid_records(r), r), group)
+    # Read twice below: once to count, once to list.
+    listed = derived_table(
+        spark, "usage_places", sf,
+        lambda: dedupe_answers(lk.find_usages(ix.valid_records(r), r), group),
+    )
     return mark_single(listed, group).select("project", *_target(), *_FOUND, "is_single")
 
 
@@ -647,15 +651,23 @@ def region_text(spark, sf):
     return r.groupBy("filename", "semantic", "region_text").agg(F.count("*").alias("n"))
 
 
+def carets(spark: SparkSession, sf: str) -> DataFrame:
+    """What each caret stands for: a region of its own, and groups it shares."""
+    return derived_table(
+        spark, "carets", sf,
+        lambda: rg.caret_targets(asked(spark, sf), records(spark, sf)),
+    )
+
+
 @query
 def highlights(spark, sf):
-    h = rg.highlights(asked(spark, sf), records(spark, sf))
+    h = rg.highlights(carets(spark, sf), records(spark, sf))
     return h.select("cursor_id", "hit_type", "n_regions", "n_highlighted")
 
 
 @query
 def highlight_counts(spark, sf):
-    counts = rg.highlight_counts(asked(spark, sf), records(spark, sf), highlight_self=True)
+    counts = rg.highlight_counts(carets(spark, sf), records(spark, sf), highlight_self=True)
     return counts.select("project", "filename", "n_carets", "n_highlighted")
 
 

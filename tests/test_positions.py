@@ -90,9 +90,9 @@ def f_records(make):
 def test_highlights_leave_out_the_caret_itself(spark, make):
     r = f_records(make)
     asked = ps.at_position(r, carets(spark, (1, 7), (3, 2), (2, 6), (1, 1)))
-    got = {x.cursor_id: (x.n_regions, x.n_highlighted) for x in rg.highlights(asked, r).collect()}
+    got = {x.cursor_id: (x.n_regions, x.n_highlighted) for x in rg.highlights(rg.caret_targets(asked, r), r).collect()}
     assert got == {0: (3, 2), 1: (3, 2), 2: (2, 1)}
-    whole = rg.highlight_counts(asked, r, highlight_self=True).first()
+    whole = rg.highlight_counts(rg.caret_targets(asked, r), r, highlight_self=True).first()
     assert (whole.n_carets, whole.n_highlighted) == (3, 8)
 
 
