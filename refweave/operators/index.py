@@ -50,6 +50,11 @@ def valid_records(records: DataFrame) -> DataFrame:
     return records.where((F.col("semantic") == FINDING) | ((F.col("row") != 0) & (F.col("col") != 0)))
 
 
+def with_row(records: DataFrame) -> DataFrame:
+    """Records whose row is known, of any kind."""
+    return records.where(F.col("row").isNotNull())
+
+
 # -- targets: what a record asks for ---------------------------------------------
 
 

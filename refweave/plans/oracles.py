@@ -226,7 +226,7 @@ LEFT JOIN (SELECT project, to_ns, name, count(*) AS n_usages, count(DISTINCT fil
   FROM v WHERE semantic = 'var_usage' GROUP BY ALL) u
   ON d.project = u.project AND d.ns = u.to_ns AND d.name = u.name""")
 
-_add("records_all", """
+_add("records", """
 SELECT project, scope, filename, semantic, file_ord, pos, row, col, end_row, end_col, name_row, name_end_col, name, ns,
   from_ns, to_ns, from_var, alias, local_id, class_name, method_name, symbol, reg, keys_destructuring, doc, level,
   message, arglists
@@ -252,6 +252,9 @@ SELECT project, filename, CAST(count(*) FILTER (WHERE level = 'error') AS INTEGE
   CAST(count(*) FILTER (WHERE level = 'warning') AS INTEGER) AS warnings, true AS is_readable
 FROM rec GROUP BY ALL""")
 
+_add("hooks", """
+SELECT project, semantic, count(*) AS n, count(name) AS n_named FROM rec GROUP BY ALL""")
+
 _add("keyword_regs", """
 SELECT project, filename, row, col, ns, name, reg FROM v WHERE semantic = 'keyword' AND coalesce(reg, '') <> ''""")
 
@@ -323,7 +326,7 @@ _add("qualified_names", f"""
 SELECT project, filename, semantic, {_QNAME} AS qualified_name, count(*) AS n_carets FROM asked GROUP BY ALL""",
      prefix=_HITS)
 
-_add("labels_of_records", """
+_add("labels", """
 SELECT project, filename, semantic, pos,
   CASE WHEN semantic = 'keyword' THEN 'keyword' WHEN semantic = 'local_usage' THEN 'variable'
     WHEN semantic = 'var_definition' AND arglists <> '' THEN 'function'
@@ -500,7 +503,7 @@ answers AS (SELECT * FROM ({' UNION ALL '.join(parts)})
 SELECT answer_scope, project, asking_file, target_kind, t1, t2, CAST(n_asked AS BIGINT) AS n_asked, filename, row, col,
   semantic FROM answers""", prefix=_HITS, ctes=ctes)
     if answers_name == "usage_answers":
-        _add("usage_report_lines", """
+        _add("usage_report", """
 SELECT project, shown_name, 0 AS part, CAST(NULL AS VARCHAR) AS filename, CAST(NULL AS INTEGER) AS row,
   CAST(NULL AS INTEGER) AS col, 'Find Usages: ' || shown_name AS line FROM lastask
 UNION ALL

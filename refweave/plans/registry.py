@@ -37,7 +37,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    _QUERIES[f.__name__] = f
+    """Register under the function's name, less a trailing underscore."""
+    _QUERIES[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -130,7 +131,7 @@ def usages_per_definition(spark, sf):
 
 
 @query
-def records_all(spark, sf):
+def records_(spark, sf):
     return records(spark, sf).select(
         "project", "scope", "filename", "semantic", "file_ord", "pos", "row", "col", "end_row", "end_col",
         "name_row", "name_end_col", "name", "ns", "from_ns", "to_ns", "from_var", "alias", "local_id",
@@ -142,16 +143,14 @@ def records_all(spark, sf):
 @query
 def valid_records(spark, sf):
     r = records(spark, sf)
-    valid = ix.valid_records(r)
-    return (
-        r.groupBy("project", "semantic")
-        .agg(
-            F.count("*").alias("n_all"),
-            F.count_if(F.col("row").isNotNull()).alias("n_with_row"),
-        )
-        .join(valid.groupBy("project", "semantic").agg(F.count("*").alias("n_valid")), ["project", "semantic"], "left")
-        .na.fill(0)
-    )
+    counts = [
+        df.groupBy("project", "semantic").agg(F.count("*").alias(name))
+        for name, df in (("n_all", r), ("n_with_row", ix.with_row(r)), ("n_valid", ix.valid_records(r)))
+    ]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(c, ["project", "semantic"], "left")
+    return out.na.fill(0)
 
 
 @query
@@ -189,6 +188,26 @@ def report_summaries(spark, sf):
     )
 
 
+@query
+def hooks(spark, sf):
+    """Reports streamed into a log; what a hook was shown after each batch, added up."""
+    source, seen = scratch(spark, "reports"), scratch(spark, "seen")
+    reports = rp.to_reports(records(spark, sf).withColumn("scope", F.lit("view"))).select(
+        "project", "scope", F.lit(1).cast("bigint").alias("run_seq"), "value"
+    )
+    reports.write.parquet(source)
+
+    def count_kinds(context, batch):
+        counts = batch.groupBy("project", "semantic").agg(F.count("*").alias("n"), F.count("name").alias("n_named"))
+        counts.write.mode("overwrite").parquet(f"{seen}/batch_id={context['batch_id']}")
+
+    stream = spark.readStream.schema(reports.schema).parquet(source)
+    ig.ingest(stream, scratch(spark, "log"), scratch(spark, "log-state"), [count_kinds]).awaitTermination()
+    return spark.read.parquet(seen).groupBy("project", "semantic").agg(
+        F.sum("n").alias("n"), F.sum("n_named").alias("n_named")
+    )
+
+
 @query
 def keyword_regs(spark, sf):
     r = ix.records_of(records(spark, sf), "keyword").where(sc.is_registering())
@@ -216,7 +235,7 @@ def ns_row_keys(spark, sf):
 
 
 @query
-def locals(spark, sf):
+def locals_(spark, sf):
     return ix.last_bindings(records(spark, sf)).select("project", "filename", "local_id", "name", "row", "col")
 
 
@@ -301,7 +320,7 @@ def qualified_names(spark, sf):
 
 
 @query
-def labels_of_records(spark, sf):
+def labels(spark, sf):
     r = ix.valid_records(records(spark, sf)).where(~F.col("semantic").isin("local", "java_class_usage"))
     lab = sc.label(show_namespace=True, show_row_col=True, show_filename=True)
     return r.select(
@@ -543,7 +562,7 @@ def doc_cards(spark, sf):
 
 
 @query
-def usage_report_lines(spark, sf):
+def usage_report_(spark, sf):
     report = usage_report(asked(spark, sf), usage_ranks(spark, sf), records(spark, sf))
     return report.select(
         "project", "shown_name", "part", "filename", "row", "col", "line"
