@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import is_registering, label, qualified_name
 from . import index as ix
 from .dedupe import dedupe
+from .joins import join_unique
 from .scopes import in_scope
 
 # List order of kinds.  Fixed values.
@@ -81,7 +82,7 @@ def catalog_view_paths(
     """
     indexed = paths.select("project").distinct()
     chosen = paths.withColumn("from_scope", F.lit("paths")).unionByName(
-        views.join(indexed, "project", "left_anti").withColumn("from_scope", F.lit("view"))
+        join_unique(views, indexed, ["project"], "left_anti").withColumn("from_scope", F.lit("view"))
     )
     listed = anything(chosen, kinds).select(
         "project", "from_scope", "filename", "row", "col", "semantic", "kind_ord", "file_ord", "pos",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import definition_extensions, lookup_key, own_extension
 from . import index as ix
 from .index import FILE, FOUND, PROJECT, TARGET
+from .joins import join_unique
 
 
 def answers(
@@ -133,9 +134,9 @@ def namespace_vars(records: DataFrame, unit: Sequence[str] = PROJECT) -> DataFra
     )
     used = ix.records_of(records, "var_usage")
     first_seen = used.groupBy(*unit, "to_ns", "name").agg(F.min(ix.order()).alias("group_ord"))
-    return (
-        asked.join(used.select(*unit, "to_ns", "name", *[c for c in FOUND if c not in unit]), [*unit, "to_ns"])
-        .join(first_seen, [*unit, "to_ns", "name"])
+    found = used.select(*unit, "to_ns", "name", *[c for c in FOUND if c not in unit])
+    return join_unique(
+        join_unique(found, asked, [*unit, "to_ns"]), first_seen, [*unit, "to_ns", "name"]
     )
 
 
@@ -159,7 +160,7 @@ def mark_first(found: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:
     order_ = F.struct("branch", *ix.ORD)
     first = found.groupBy(*unit, TARGET).agg(F.min(order_).alias("_first"))
     return (
-        found.join(first, [*unit, TARGET])
+        join_unique(found, first, [*unit, TARGET])
         .withColumn("is_first", order_ == F.col("_first"))
         .drop("_first")
     )
@@ -193,7 +194,7 @@ def first_definition(
         .groupBy(*unit, "_key", "ext")
         .agg(F.min_by("_def", "_ord").alias("definition"))
     )
-    return asked.join(wanted, [*unit, "_key", "ext"], "left").drop("_key")
+    return join_unique(asked, wanted, [*unit, "_key", "ext"], "left").drop("_key")
 
 
 def var_definition_first(records: DataFrame, unit: Sequence[str] = PROJECT) -> DataFrame:

@@ -23,6 +23,7 @@ from ..schema import SCOPE_SEMANTICS
 from . import index as ix
 from .dedupe import dedupe_answers
 from .index import FILE, FOUND, TARGET
+from .joins import join_unique
 
 
 def _known(entries: DataFrame, unit: Sequence[str], name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def rank_scopes(
         *FILE, TARGET, "n_asked", "p.key"
     )
     for scope, entries, unit in entries_by_scope:
-        probed = probed.join(_known(entries, unit, f"n_{scope}"), [*unit, "key"], "left")
+        probed = join_unique(probed, _known(entries, unit, f"n_{scope}"), [*unit, "key"], "left")
     summed = probed.groupBy(*FILE, TARGET).agg(
         F.max("n_asked").alias("n_asked"),
         *(F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(f"n_{s}") for s, _, _ in entries_by_scope),

@@ -50,3 +50,35 @@ def test_hot_key_grows_linearly(make):
     found = lk.var_usages(r.unionByName(many))
     assert found.count() == n
     assert found.select("n_asked").distinct().first().n_asked == n + 1
+
+
+def test_hot_key_is_split(make, spark):
+    """Partitions of a key that is nearly everything are split by adaptive execution."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    n = 20_000
+    one = make(("var_usage", {"name": "hot", "to_ns": "n", "name_row": 1}))
+    hot = one.drop("pos", "row", "name").crossJoin(
+        spark.range(0, n, 1, 8).select(
+            F.col("id").alias("pos"),
+            (F.col("id") + 1).cast("int").alias("row"),
+            F.when(F.col("id") % 100 == 0, F.concat(F.lit("v"), "id")).otherwise("hot").alias("name"),
+        )
+    )
+    r = make(("var_definition", {"name": "hot", "ns": "n", "name_row": 1})).unionByName(hot)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for df in (lk.var_usages(r), lk.var_definition_first(r)):
+            assert len(df.collect()) >= n
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
