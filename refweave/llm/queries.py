@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refweave.llm import bpe, simhash, tokens
+from refweave.llm import bpe, mixing, perplexity, simhash, tokens, warc
 from refweave.llm.common import table
+from refweave.session import scratch
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,15 +24,42 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rules(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html")
+    return warc.read(spark, folder).drop("whole")
+
+
+_SQL6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY t)
+SELECT p.page_id, p.n::bigint AS payload_bytes, sha256(p.t) AS payload_digest,
+  CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.t = f.t
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(
         table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json")
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_simhash, op7_token_counts)}
+    found = (
+        op1_byte_bpe, op2_simhash, op5_perplexity, op6_warc, op7_token_counts, op9_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": _SQL6}
