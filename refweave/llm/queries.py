@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refweave.llm import bpe, mixing, perplexity, simhash, tokens, warc
+from refweave.llm import bpe, collision_ann, cotrain, mixing, perplexity, simhash, tokens, warc
 from refweave.llm.common import table
 from refweave.session import scratch
 
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return collision_ann.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
+
+
 def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.rules(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
@@ -54,9 +59,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "text_score", "page_score", "score", "kept")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_byte_bpe, op2_simhash, op5_perplexity, op6_warc, op7_token_counts, op9_mixing,
+        op1_byte_bpe, op2_simhash, op3_collision_ann, op5_perplexity, op6_warc, op7_token_counts, op9_mixing,
+        op10_cotraining,
     )
     return {f.__name__: f for f in found}
 
