@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refweave.llm import bpe, collision_ann, cotrain, mixing, perplexity, simhash, tokens, warc
-from refweave.llm.common import table
+from refweave.llm import bpe, collision_ann, cotrain, mixing, perplexity, pii, simhash, tokens, warc
+from refweave.llm.common import table, written
 from refweave.session import scratch
 
 
@@ -29,6 +29,11 @@ def op3_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_ann.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii")
+    return pii.report(pii.decide(found, pii.learn(found)), "doc_id")
+
+
 def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.rules(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
@@ -66,7 +71,7 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_byte_bpe, op2_simhash, op3_collision_ann, op5_perplexity, op6_warc, op7_token_counts, op9_mixing,
+        op1_byte_bpe, op2_simhash, op3_collision_ann, op4_pii, op5_perplexity, op6_warc, op7_token_counts, op9_mixing,
         op10_cotraining,
     )
     return {f.__name__: f for f in found}

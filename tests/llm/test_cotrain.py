@@ -59,5 +59,8 @@ def test_each_view_learns_from_the_other():
     few = np.arange(60)
     alone = cotrain.cotrain(a[few], b[few], y[few], a[:0], b[:0])
     both = cotrain.cotrain(a[few], b[few], y[few], a[60:], b[60:], exchanged=0.1)
-    right = [np.mean((m.scores(a, b)[:, 2] > 0.5) == (y == 1)) for m in (alone, both)]
-    assert right[1] > 0.9 and right[1] >= right[0] - 0.01
+    ranked = []
+    for model in (alone, both):
+        z = model.scores(a, b)[:, 2]
+        ranked.append(np.mean(np.subtract.outer(z[y == 1][:800], z[y == 0][:800]) > 0))
+    assert ranked[1] > 0.98 and ranked[1] >= ranked[0]
