@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from refweave.functions.text import running_starts
 from refweave.session import scratch
 
 #: A word: a run of characters other than ASCII white space.
@@ -41,3 +43,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_matches(
+    df: DataFrame, name: str, text: str, pattern: str, possible: Column, measure: Callable[[Column], Column] = F.length
+) -> DataFrame:
+    """Add ``name``: the matches of ``pattern`` where ``possible``, as ``(x, before, after, start)``.
+
+    ``before`` and ``after`` are the text up to the neighbouring matches, ``start`` is the
+    ``measure`` of all text before, by default its length.  Arrays are zipped before they are
+    transformed: an outer expression inside a lambda would be evaluated for each element.
+    """
+    m, g, n = f"_m_{name}", f"_g_{name}", f"_n_{name}"
+    none = F.array().cast("array<string>")
+    df = df.withColumn(m, F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)).otherwise(none))
+    before, after = F.slice(g, F.lit(1), F.size(m)), F.slice(g, F.lit(2), F.size(m))
+    df = df.withColumn(
+        n,
+        F.transform(
+            F.arrays_zip(F.col(m).alias("x"), before.alias("before")),
+            lambda z: (measure(z["x"]) + measure(z["before"])).cast("int"),
+        ),
+    )
+    zipped = F.arrays_zip(
+        F.col(m).alias("x"), before.alias("before"), after.alias("after"), running_starts(F.col(n)).alias("at")
+    )
+    found = F.transform(
+        zipped,
+        lambda z: F.struct(z["x"], z["before"], z["after"], (z["at"] + measure(z["before"])).cast("int").alias("start")),
+    )
+    return df.withColumn(name, found).drop(m, g, n)

@@ -19,8 +19,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from refweave.functions.text import pieces, running_starts, text_between
-from refweave.llm.common import lower_ascii, text_of
+from refweave.functions.text import pieces, text_between
+from refweave.llm.common import lower_ascii, text_of, with_matches
 
 KINDS = ["email", "ip", "card", "phone", "name", "number", "secret"]
 BASE = KINDS[:4]
@@ -64,16 +64,6 @@ LABELERS = ["shape", "strict_shape", "gazetteer", "cue", "against", "assigned"]
 FEATURES = ["is_number", "is_secret", "long", "mixed", "listed", "cued", "denied", "quoted"]
 
 
-def _find(df: DataFrame, name: str, pattern: str, possible: Column) -> DataFrame:
-    """Add ``_m_name`` (matches), ``_g_name`` (pieces between them) and ``_s_name`` (starts of pieces)."""
-    m, g = F.col(f"_m_{name}"), F.col(f"_g_{name}")
-    none = F.array().cast("array<string>")
-    df = df.withColumn(f"_m_{name}", F.when(possible, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn(f"_g_{name}", F.when(F.size(m) > 0, F.split("_t", pattern, -1)).otherwise(none))
-    lengths = F.transform(m, lambda x, i: (F.length(g[i]) + F.length(x)).cast("int"))
-    return df.withColumn(f"_s_{name}", F.when(F.size(m) > 0, running_starts(lengths)).otherwise(F.array().cast("array<int>")))
-
-
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -106,11 +96,9 @@ def _span(kind: Column | str, start: Column, length: Column) -> Column:
     return F.struct(kind.alias("kind"), start.cast("int").alias("start"), (start + length).cast("int").alias("end"))
 
 
-def _valid_spans(kind: str, m: Column, g: Column, s: Column) -> Column:
-    found = F.transform(
-        m, lambda x, i: F.struct(_span(kind, s[i] + F.length(g[i]), F.length(x)).alias("span"), x.alias("x"))
-    )
-    return F.transform(F.filter(found, lambda f: _valid(kind, f["x"])), lambda f: f["span"])
+def _valid_spans(kind: str, found: Column) -> Column:
+    good = F.filter(found, lambda f: _valid(kind, f["x"]))
+    return F.transform(good, lambda f: _span(kind, f["start"], F.length(f["x"])))
 
 
 def _votes(kind: Column, x: Column, before: Column, after: Column) -> Column:
@@ -165,19 +153,17 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.select(*columns, text_of(text).alias("_t"))
     for kind, pattern in _PATTERNS.items():
         hint = F.contains("_t", F.lit("@")) if kind == "email" else F.col("_t").rlike(_HINTS[kind])
-        out = _find(out, kind, pattern, hint)
-    spans = [_valid_spans(kind, *(F.col(f"_{c}_{kind}") for c in "mgs")) for kind in BASE]
-    out = out.withColumn("_base", F.concat(*spans))
-    out = _find(out.select(*columns, "_t", "_base"), "c", _CANDIDATE, F.lit(True))
-    m, g, s = (F.col(f"_{c}_c") for c in "mgs")
+        out = with_matches(out, f"_{kind}", "_t", pattern, hint)
+    out = out.withColumn("_base", F.concat(*[_valid_spans(kind, F.col(f"_{kind}")) for kind in BASE]))
+    out = with_matches(out.select(*columns, "_t", "_base"), "_wide", "_t", _CANDIDATE, F.lit(True))
     kind = lambda x: F.when(x.rlike(r"^\p{Lu}\p{Ll}+ "), "name").when(x.rlike("^[0-9 .-]+$"), "number").otherwise("secret")
     raw = F.transform(
-        m,
-        lambda x, i: F.struct(
-            _span(kind(x), s[i] + F.length(g[i]), F.length(x)).alias("span"),
-            x.alias("x"),
-            lower_ascii(F.right(g[i], F.lit(_NEAR))).alias("before"),
-            F.left(g[i + 1], F.lit(4)).alias("after"),
+        "_wide",
+        lambda f: F.struct(
+            _span(kind(f["x"]), f["start"], F.length(f["x"])).alias("span"),
+            f["x"].alias("x"),
+            lower_ascii(F.right(f["before"], F.lit(_NEAR))).alias("before"),
+            F.left(f["after"], F.lit(4)).alias("after"),
         ),
     )
     apart = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["span"]["end"]) & (c["span"]["start"] < b["end"]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refweave.llm import bpe, collision_ann, cotrain, mixing, perplexity, pii, simhash, tokens, warc
+from refweave.llm import bpe, collision_ann, cotrain, licenses, mixing, perplexity, pii, simhash, tokens, warc
 from refweave.llm.common import table, written
 from refweave.session import scratch
 
@@ -60,6 +60,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
@@ -71,7 +75,7 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_byte_bpe, op2_simhash, op3_collision_ann, op4_pii, op5_perplexity, op6_warc, op7_token_counts, op9_mixing,
+        op1_byte_bpe, op2_simhash, op3_collision_ann, op4_pii, op5_perplexity, op6_warc, op7_token_counts, op8_licenses, op9_mixing,
         op10_cotraining,
     )
     return {f.__name__: f for f in found}
