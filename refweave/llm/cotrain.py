@@ -182,6 +182,7 @@ def train(
     )
     order = [F.xxhash64(key), F.col(key)]
     columns = [text, lang, source, n_chars]
+    docs = docs.select(key, *columns)
     ids = docs.select(key).where(F.col(key).isNotNull())
     some = ids.join(known, key).orderBy(*order).limit(labelled)
     rest = ids.join(known, key, "left_anti").orderBy(*order).limit(pool)

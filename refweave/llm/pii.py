@@ -150,12 +150,12 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     A null text is empty.  Columns of these names are replaced.
     """
     columns = [c for c in df.columns if c not in ("_base", "_candidates")]
-    out = df.select(*columns, text_of(text).alias("_t"))
+    out = df.select(F.struct(*columns).alias("_in"), text_of(text).alias("_t"))
     for kind, pattern in _PATTERNS.items():
         hint = F.contains("_t", F.lit("@")) if kind == "email" else F.col("_t").rlike(_HINTS[kind])
         out = with_matches(out, f"_{kind}", "_t", pattern, hint)
     out = out.withColumn("_base", F.concat(*[_valid_spans(kind, F.col(f"_{kind}")) for kind in BASE]))
-    out = with_matches(out.select(*columns, "_t", "_base"), "_wide", "_t", _CANDIDATE, F.lit(True))
+    out = with_matches(out.select("_in", "_t", "_base"), "_wide", "_t", _CANDIDATE, F.lit(True))
     kind = lambda x: F.when(x.rlike(r"^\p{Lu}\p{Ll}+ "), "name").when(x.rlike("^[0-9 .-]+$"), "number").otherwise("secret")
     raw = F.transform(
         "_wide",
@@ -170,7 +170,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_raw", F.filter(raw, apart))
     parts = lambda c: (c["span"]["kind"], c["x"], c["before"], c["after"])
     return out.select(
-        *columns,
+        "_in.*",
         "_base",
         F.transform("_raw", lambda c: F.struct(c["span"].alias("span"), _votes(*parts(c)).alias("votes"), _features(*parts(c)).alias("features"))).alias("_candidates"),
     )
@@ -256,29 +256,38 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans count as one.
+def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``df`` with each span of the text replaced by its kind in brackets; overlapping spans count as one.
 
     Null stays null, and a text without spans stays as it is.
     """
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    )
 
     def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        over = (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"])
+        last = F.try_element_at(done, F.lit(-1))
         wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(over, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(
+            F.concat(done, F.array(s))
+        )
 
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    apart = F.aggregate(ordered, none, merge)
-    cut = pieces(text)
-
-    def piece(s: Column, i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get(apart, i - 1)["end"])
-        return F.concat(text_between(cut, start, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-
-    tail = text_between(cut, F.element_at(apart, -1)["end"], F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(apart, piece), ""), tail)).otherwise(text)
+    some = F.size(spans) > 0
+    out = df.select(F.struct(*df.columns).alias("_in"), F.col(text).alias("_t"), some.alias("_some"), F.col(spans).alias("_s"))
+    out = out.withColumn("_apart", F.when(F.col("_some"), F.aggregate(ordered, none, merge)).otherwise(none))
+    out = out.withColumn("_cut", F.when(F.col("_some"), pieces(F.col("_t"))).otherwise(F.array().cast("array<string>")))
+    # Where the kept text before each span, and after the last one, begins.
+    begins = F.concat(F.array(F.lit(0)), F.transform("_apart", lambda s: s["end"]))
+    zipped = F.arrays_zip(F.col("_apart").alias("s"), F.slice(begins, F.lit(1), F.size("_apart")).alias("begin"))
+    kept = F.transform(
+        zipped,
+        lambda z: F.concat(text_between(F.col("_cut"), z["begin"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]")),
+    )
+    tail = text_between(F.col("_cut"), F.element_at(begins, -1), F.length("_t"))
+    clean = F.when(F.col("_some"), F.concat(F.array_join(kept, ""), tail)).otherwise(F.col("_t"))
+    columns = [clean.alias(c) if c == text else F.col(f"_in.`{c}`") for c in df.columns]
+    return out.select(*columns)
 
 
 def report(found: DataFrame, key: str) -> DataFrame:

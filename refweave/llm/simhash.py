@@ -25,16 +25,17 @@ SHARD = 4096  # members of a shard before it is dealt anew
 BIN = 16384  # members of the shards that one Python call works on, about
 _QUERIES = 2048  # searched at a time
 _SHINGLES = 1 << 16  # whose bits are counted at a time
+_KIND_BITS = 5  # of a shard's name
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str, width: int, seed: int) -> int:
-    """SimHash of the word shingles, repeats counted, as a signed 64-bit integer; no words: 0."""
+def shingle_hashes(text: str, width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles after A-Z are lower-cased, in bounded pieces; fewer words: one shingle."""
     import xxhash
 
-    words = text.encode().translate(_UPPER).split()  # bytes split at ASCII white space only
+    words = text.encode("utf-8", "surrogatepass").translate(_UPPER).split()  # bytes split at ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
@@ -42,27 +43,64 @@ def fingerprint(text: str, width: int, seed: int) -> int:
     n = max(1, len(words) - width + 1)
     last = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for start in range(0, n, _SHINGLES):
         stop = min(n, start + _SHINGLES)
         pairs = zip(starts[start:stop], ends[start + last : stop + last], strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+        yield np.array([digest(joined[a:b], seed) for a, b in pairs], np.uint64)
+
+
+def _bits_set(hashes: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
 
+def _packed(bits: np.ndarray) -> int:
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
-def fingerprints(df: DataFrame, key: str, text: str, width: int = 4, seed: int = 42) -> DataFrame:
-    """``(key, fp)`` per row.  A null or empty text, or one without words, has fingerprint 0."""
+
+def fingerprint(text: str, width: int, seed: int) -> int:
+    """SimHash of the word shingles, repeats counted, as a signed 64-bit integer; no words: 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        counts += _bits_set(hashes)
+        n += len(hashes)
+    return _packed(counts * 2 > n)
+
+
+def several_fingerprints(text: str, width: int, several: int) -> list[int]:
+    """Independent fingerprints of the set of shingles: their hashes are mixed anew for each."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width, 42)]
+    hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    out = []
+    for n in range(1, several + 1):
+        counts = np.zeros(64, np.int64)
+        for start in range(0, len(hashes), _SHINGLES):
+            h = hashes[start : start + _SHINGLES] ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
+            h = h * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            counts += _bits_set(h ^ (h >> np.uint64(32)))
+        out.append(_packed(counts * 2 > len(hashes)))
+    return out
+
+
+def fingerprints(df: DataFrame, key: str, text: str, width: int = 4, seed: int = 42, several: int = 0) -> DataFrame:
+    """``(key, fp)`` per row, or ``(key, fps)`` with ``several`` of them.
+
+    A null or empty text, or one without words, has fingerprint 0.
+    """
     bounded_batches(df.sparkSession)
+    name, kind = ("fps", pa.list_(pa.int64())) if several else ("fp", pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, width, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[key, "fp"])
+            found = [
+                several_fingerprints(t, width, several) if several else fingerprint(t, width, seed)
+                for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[key, name])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {name} {'array<bigint>' if several else 'bigint'}"
+    return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, schema)
 
 
 class BKForest:
@@ -133,7 +171,7 @@ def _blocks(width: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def shards(fps: DataFrame, radius: int, size: int = SHARD) -> DataFrame:
-    """``(shard, fp)``: any two fingerprints within ``radius`` bits share a shard of bounded size."""
+    """``(shard, fp, node)``: any two fingerprints of a kind within ``radius`` bits share a shard of bounded size."""
     blocks = _blocks(64, radius + 1)
     fp = F.col("fp")
 
@@ -144,61 +182,65 @@ def shards(fps: DataFrame, radius: int, size: int = SHARD) -> DataFrame:
         high = F.shiftrightunsigned(fp, top) if top < 64 else F.lit(0).cast("bigint")
         return F.shiftleft(high, first).bitwiseOR(low)
 
+    def shard(*parts: Column) -> Column:
+        """A hash whose low bits are the kind: kinds never meet, whatever the hash."""
+        return F.shiftleft(F.xxhash64(*parts), _KIND_BITS).bitwiseOR(F.col("kind").cast("bigint"))
+
     dealt = fps.select(
-        "fp",
+        "kind", "fp", "node",
         F.explode(F.array(*[
-            F.struct(F.xxhash64(F.lit(k), _bits(fp, a, n)).alias("shard"), turned(a, n).alias("rest"), F.lit(64 - n).alias("n"))
+            F.struct(shard(F.lit(k), _bits(fp, a, n)).alias("shard"), turned(a, n).alias("rest"), F.lit(64 - n).alias("n"))
             for k, (a, n) in enumerate(blocks)
         ])).alias("s"),
-    ).select("fp", "s.*")
+    ).select("kind", "fp", "node", "s.*")
 
     def large(df: DataFrame) -> DataFrame:
         return df.groupBy("shard").count().where(F.col("count") > size)
 
     hot = large(dealt)
-    small = dealt.join(hot, "shard", "left_anti").select("shard", "fp")
-    wide = join_unique(dealt, hot, ["shard"])
-    again = wide.select(
-        "fp",
+    small = dealt.join(hot, "shard", "left_anti").select("shard", "fp", "node")
+    again = join_unique(dealt, hot, ["shard"]).select(
+        "kind", "fp", "node",
         F.explode(F.flatten(F.array(*[
             F.when(F.col("n") == free, F.array(*[
-                F.xxhash64("shard", F.lit(k), _bits(F.col("rest"), a, n)) for k, (a, n) in enumerate(_blocks(free, radius + 1))
+                shard(F.col("shard"), F.lit(k), _bits(F.col("rest"), a, n)) for k, (a, n) in enumerate(_blocks(free, radius + 1))
             ])).otherwise(F.array().cast("array<bigint>"))
             for free in sorted({64 - n for _, n in blocks})
         ]))).alias("shard"),
     )
     again = written(again, "shards")
     hot = large(again)
-    small = small.unionByName(again.join(hot, "shard", "left_anti").select("shard", "fp"))
+    small = small.unionByName(again.join(hot, "shard", "left_anti").select("shard", "fp", "node"))
     n = F.ceil(F.col("count") / size).cast("int")
     chunks = (
         join_unique(again, hot, ["shard"])
-        .select("shard", "fp", n.alias("n"), F.pmod(F.xxhash64("fp"), n).cast("int").alias("c"))
+        .select("kind", "shard", "fp", "node", n.alias("n"), F.pmod(F.xxhash64("fp"), n).cast("int").alias("c"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(F.xxhash64("shard", F.least("c", "o"), F.greatest("c", "o")).alias("shard"), "fp")
+        .select(shard(F.col("shard"), F.least("c", "o"), F.greatest("c", "o")).alias("shard"), "fp", "node")
     )
     return small.unionByName(chunks)
 
 
 def links(fps: DataFrame, radius: int, size: int = SHARD) -> DataFrame:
-    """Edges ``(a, b)`` that connect every two of the distinct ``fps(fp)`` within ``radius`` bits.
+    """Edges ``(a, b)`` between nodes that connect every two fingerprints of a kind within ``radius`` bits.
 
-    Each shard gives a star per group of connected members, not all its pairs.
+    ``fps(kind, fp, node)`` has each fingerprint of a kind once.  Each shard gives a star per
+    group of connected members, not all its pairs.
     """
     dealt = shards(fps, radius, size)
     bins = max(1, -(-(radius + 1) * fps.count() // BIN))
 
     def search(group: pa.Table) -> pa.Table:
-        shard, fp = (group.column(c).to_numpy() for c in ("shard", "fp"))
-        order = np.argsort(fp, kind="stable")
-        shard, fp = shard[order], fp[order].view(np.uint64)
+        shard, fp, node = (group.column(c).to_numpy() for c in ("shard", "fp", "node"))
+        order = np.lexsort((fp, shard))
+        shard, fp, node = shard[order], fp[order].view(np.uint64), node[order]
         forest = BKForest(shard, fp)
         pairs = [
             forest.links(np.arange(n, min(n + _QUERIES, len(fp))), radius) for n in range(0, len(fp), _QUERIES)
         ]
         label = _stars(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]), len(fp))
         linked = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.table({"a": fp[linked].view(np.int64), "b": fp[label[linked]].view(np.int64)})
+        return pa.table({"a": node[linked], "b": node[label[linked]]})
 
     return (
         dealt.withColumn("bin", F.pmod(F.xxhash64("shard"), F.lit(bins)))
@@ -220,7 +262,7 @@ def near_duplicates(
     rows = written(fingerprints(df, key, text, width, seed), "fingerprints")
     # The same fingerprint is one node, however many rows have it.
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, size)).withColumnRenamed("node", "fp")
+    roots = components(links(_one_kind(nodes), radius, size)).withColumnRenamed("node", "fp")
     linked = join_unique(nodes, roots, ["fp"])
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = (
@@ -231,5 +273,33 @@ def near_duplicates(
     return join_unique(rows, named, ["fp"]).select(key, "fp", "component_id")
 
 
+def _one_kind(fps: DataFrame) -> DataFrame:
+    return fps.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("node"))
+
+
+def near_copies(
+    df: DataFrame, key: str, text: str, width: int = 2, several: int = 8, radius: int = 4, size: int = SHARD
+) -> DataFrame:
+    """``(key, component_id)`` per row, for copies with edits; ``key`` is a unique long.
+
+    One fingerprint within 4 bits only tells copies with next to no edits.  Here documents are linked
+    if any of ``several`` independent fingerprints are, over sets of shorter shingles, of which an
+    edit changes fewer.  Copies with a Jaccard similarity of 0.8 or more over five-word shingles
+    are found all but certainly, those of 0.6 to 0.8 in part, others not.  Texts without words are linked.
+    """
+    if several >= 1 << _KIND_BITS:
+        raise ValueError("too many fingerprints")
+    rows = written(fingerprints(df, key, text, width, several=several), "fingerprints")
+    nodes = written(rows.groupBy("fps").agg(F.min(key).alias("node")), "nodes")
+    spread = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
+    # A fingerprint stands for the smallest node that has it.
+    first = written(spread.groupBy("kind", "fp").agg(F.min("node").alias("first")), "first")
+    shared = join_unique(spread, first, ["kind", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    edges = shared.where("a != b").unionByName(links(first.withColumnRenamed("first", "node"), radius, size))
+    roots = components(edges)
+    named = join_unique(nodes, roots, ["node"], "left").select("fps", F.coalesce("root", "node").alias("component_id"))
+    return join_unique(rows, named, ["fps"]).select(key, "component_id")
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

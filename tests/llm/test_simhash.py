@@ -65,7 +65,7 @@ def test_links_keep_all_components_when_shards_are_dealt_anew(spark, size):
     fps |= {centres[0] ^ (1 << a | 1 << b) for a in range(12) for b in range(12)}
     fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
     df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
-    got = dict(map(tuple, components(simhash.links(df, 4, size)).collect()))
+    got = dict(map(tuple, components(simhash.links(simhash._one_kind(df), 4, size)).collect()))
     group = brute_components([x & (2**64 - 1) for x in fps], 4)
     least = [min(fps[j] for j in range(len(fps)) if group[j] == group[i]) for i in range(len(fps))]
     assert [got.get(x, x) for x in fps] == least
@@ -92,3 +92,27 @@ def test_components_of_a_long_path_and_a_hub(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     got = dict(map(tuple, components(df).collect()))
     assert got == {i: 0 if i < 500 else 1000 for e in edges for i in e}
+
+
+def jaccard(a, b, width=5):
+    x, y = ({tuple(t.split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_with_edits(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(4000)]
+    base = [rng.choices(vocab, k=rng.choice([60, 200, 500])) for _ in range(60)]
+    rows, group = [], []
+    for g, words in enumerate(base):
+        for _ in range(rng.randrange(1, 6)):
+            copy = list(words)
+            for _ in range(len(words) // 90):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            rows.append(" ".join(copy))
+            group.append(g)
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    got = dict(map(tuple, simhash.near_copies(df, "id", "text").collect()))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
+    assert np.mean([got[i] == got[j] for i, j in near]) > 0.98
+    assert all(group[i] == group[got[i]] and got[i] <= i for i in got)
