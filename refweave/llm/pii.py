@@ -262,7 +262,7 @@ def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
     Null stays null, and a text without spans stays as it is.
     """
     ordered = F.array_sort(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
 
     def merge(done: Column, s: Column) -> Column:
