@@ -46,13 +46,21 @@ def records_of(records: DataFrame, *semantics: str) -> DataFrame:
     return out.where(placed | (F.col("semantic") == FINDING) if FINDING in semantics else placed)
 
 
+def is_valid() -> Column:
+    return (F.col("semantic") == FINDING) | ((F.col("row") != 0) & (F.col("col") != 0))
+
+
+def has_row() -> Column:
+    return F.col("row").isNotNull()
+
+
 def valid_records(records: DataFrame) -> DataFrame:
-    return records.where((F.col("semantic") == FINDING) | ((F.col("row") != 0) & (F.col("col") != 0)))
+    return records.where(is_valid())
 
 
 def with_row(records: DataFrame) -> DataFrame:
     """Records whose row is known, of any kind."""
-    return records.where(F.col("row").isNotNull())
+    return records.where(has_row())
 
 
 # -- targets: what a record asks for ---------------------------------------------

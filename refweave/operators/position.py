@@ -117,11 +117,8 @@ def containing(
     placed = carets.withColumn("bucket", F.floor(F.col("begin_col") / BUCKET).cast("int"))
     near = placed.join(short, on).where(_contains())
 
-    long = reaching.where(~one_row)
-    if long.isEmpty():
-        return near
     # Regions over several rows reach to the end of the row: rare, compared row by row.
-    far = placed.join(long, [*keys, "begin_row"]).where(_contains())
+    far = placed.join(reaching.where(~one_row), [*keys, "begin_row"]).where(_contains())
     return near.unionByName(far.select(*near.columns))
 
 

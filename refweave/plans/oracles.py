@@ -29,7 +29,7 @@ named AS (
 ),
 toks AS (SELECT * FROM named WHERE tok <> ''),
 cursors AS (
-  SELECT doc_id * 100000000000 + row * 100000 + i AS cursor_id, project, filename, row AS begin_row,
+  SELECT concat_ws(':', doc_id, row, i) AS cursor_id, project, filename, row AS begin_row,
     CAST(col + length(tname) // 2 AS INTEGER) AS begin_col
   FROM toks
 )"""
@@ -61,7 +61,7 @@ flagged AS (
 ),
 rec AS (
   SELECT project, CASE WHEN doc_id % 10 < 7 THEN 'paths' ELSE 'classpath' END AS scope, semantic, ext,
-    doc_id AS file_ord, CAST(row AS BIGINT) * 100000 + i AS pos, filename,
+    doc_id AS file_ord, CAST(row AS BIGINT) * 2147483648 + i AS pos, filename,
     CASE WHEN vu AND (doc_id + i) % 97 = 0 THEN NULL ELSE row END AS row, col, row AS end_row,
     CAST(CASE WHEN by_name THEN col + length(tok) ELSE col + size END AS INTEGER) AS end_col,
     CASE WHEN by_name THEN row END AS name_row, CASE WHEN by_name THEN col END AS name_col,
@@ -74,7 +74,7 @@ rec AS (
     CASE WHEN nu THEN following WHEN vu AND i % 4 = 0 THEN following WHEN vu THEN own END AS to_ns,
     CASE WHEN vu AND row >= 2 THEN first_name END AS from_var,
     CASE WHEN nu THEN tname END AS alias,
-    CASE WHEN semantic IN ('local', 'local_usage') THEN doc_id * 100000 + row END AS local_id,
+    CASE WHEN semantic IN ('local', 'local_usage') THEN CAST(row AS BIGINT) END AS local_id,
     CASE WHEN semantic = 'java_class_usage' THEN tname END AS class_name,
     CASE WHEN semantic = 'java_class_usage' AND right(tok, 1) = '.' THEN 'm' END AS method_name,
     CASE WHEN semantic = 'symbol' THEN own || '/' || tname END AS symbol,
@@ -106,7 +106,7 @@ hits AS (
 best AS (
   SELECT cursor_id, any_value(c.begin_row) AS begin_row, any_value(c.begin_col) AS begin_col,
     arg_min({'filename': h.filename, 'semantic': h.semantic, 'pos': h.pos, 'hit_type': h.hit_type, 'sc': h.sc, 'ec': h.ec},
-            h.pri * 1000000000000 + h.pos) AS h
+            CAST(h.pri AS HUGEINT) * 9223372036854775808 + h.pos) AS h
   FROM cursors c JOIN hits h
     ON c.filename = h.filename AND c.begin_row = h.hrow AND h.sc <= c.begin_col AND h.ec >= c.begin_col
   GROUP BY cursor_id
@@ -241,6 +241,14 @@ _add("classpath_scope", """
 SELECT project, filename, semantic, pos, name, ns, row, col FROM v
 WHERE scope = 'classpath' AND semantic IN ('namespace_definition', 'var_definition', 'keyword')""")
 
+_add("report_quarantine", """
+SELECT project, scope, count(DISTINCT filename) FILTER (WHERE bad) AS n_quarantined,
+  count(*) FILTER (WHERE NOT bad AND visible) AS n_records, count(DISTINCT filename) FILTER (WHERE NOT bad AND visible) AS n_files
+FROM (SELECT *, file_ord % 7 IN (0, 1) AS bad,
+    (scope = 'paths' AND semantic NOT IN ('local', 'local_usage', 'finding'))
+      OR (scope = 'classpath' AND semantic IN ('namespace_definition', 'var_definition', 'keyword')) AS visible FROM rec)
+GROUP BY project, scope HAVING n_quarantined > 0 OR n_records > 0""")
+
 _add("report_scan", """
 SELECT project, filename, semantic, count(*) AS n_records, CAST(sum(row) AS BIGINT) AS sum_row,
   CAST(sum(col) AS BIGINT) AS sum_col, count(name) AS n_named,
@@ -346,10 +354,23 @@ SELECT project, filename, semantic, pos,
     WHEN 'finding' THEN 'long-token' ELSE '' END AS annotation
 FROM v WHERE semantic NOT IN ('local', 'java_class_usage')""")
 
-_add("inspect", """
+# Columns that rec leaves to the rules of one kind.
+_SHOWN = {
+    "arglist_strs": "arglists",
+    "alias_row": "CASE WHEN semantic = 'namespace_usage' THEN end_row END",
+    "alias_col": "CASE WHEN semantic = 'namespace_usage' THEN col END",
+    "alias_end_row": "CASE WHEN semantic = 'namespace_usage' THEN end_row END",
+    "alias_end_col": "CASE WHEN semantic = 'namespace_usage' THEN name_end_col END",
+    "type": "CASE WHEN semantic = 'finding' THEN 'long-token' END",
+}
+_SHOWN |= {c: c for c in (
+    "filename row col end_row end_col name_row name_col name_end_row name_end_col name ns from_ns to_ns from_var alias "
+    "local_id class_name method_name symbol reg keys_destructuring doc level message"
+).split()}
+_add("inspect", f"""
 SELECT k, v, count(*) AS n FROM (
-  SELECT unnest([{'k': 'name', 'v': name}, {'k': 'to_ns', 'v': to_ns}, {'k': 'symbol', 'v': symbol}, {'k': 'reg', 'v': reg},
-    {'k': 'level', 'v': level}, {'k': 'semantic', 'v': semantic}], recursive := true) FROM rec)
+  SELECT unnest([{", ".join(f"{{'k': '{k}', 'v': CAST({v} AS VARCHAR)}}" for k, v in _SHOWN.items())}], recursive := true)
+  FROM rec)
 WHERE v IS NOT NULL GROUP BY ALL""")
 
 _SQL["inspect_events"] = """
@@ -387,15 +408,15 @@ _FITS = """list_contains(CASE q.ext WHEN '.cljc' THEN ['.clj', '.cljs', '.cljc']
     ELSE [q.ext, '.cljc'] END, CASE d.ext WHEN '' THEN '.clj' ELSE d.ext END)"""
 
 _add("var_definition_first", f"""
-SELECT q.filename, q.semantic, q.pos, arg_min(d.filename, d.file_ord * 1000000000000 + d.pos) AS def_filename,
-  arg_min(d.pos, d.file_ord * 1000000000000 + d.pos) AS def_pos
+SELECT q.filename, q.semantic, q.pos, arg_min(d.filename, CAST(d.file_ord AS HUGEINT) * 9223372036854775808 + d.pos) AS def_filename,
+  arg_min(d.pos, CAST(d.file_ord AS HUGEINT) * 9223372036854775808 + d.pos) AS def_pos
 FROM (SELECT * FROM v WHERE semantic IN ('var_definition', 'var_usage')) q
 LEFT JOIN (SELECT * FROM v WHERE semantic = 'var_definition') d
   ON q.project = d.project AND coalesce(q.ns, q.to_ns) = d.ns AND q.name = d.name AND {_FITS}
 GROUP BY q.filename, q.semantic, q.pos""")
 
 _add("ns_definition_first", f"""
-SELECT q.filename, q.semantic, q.pos, arg_min(d.filename, d.file_ord * 1000000000000 + d.pos) AS def_filename
+SELECT q.filename, q.semantic, q.pos, arg_min(d.filename, CAST(d.file_ord AS HUGEINT) * 9223372036854775808 + d.pos) AS def_filename
 FROM (SELECT * FROM v WHERE semantic IN ('namespace_definition', 'namespace_usage')) q
 LEFT JOIN (SELECT * FROM v WHERE semantic = 'namespace_definition') d
   ON q.project = d.project AND coalesce(q.name, q.to_ns) = d.name AND {_FITS}
@@ -522,7 +543,7 @@ lastask AS (
   SELECT project, filename, shown_name, target_kind, t1, t2 FROM (
     SELECT *, {_QNAME} AS shown_name, {target} FROM asked)
   WHERE shown_name IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY project, shown_name ORDER BY cursor_id DESC) = 1
+  QUALIFY row_number() OVER (PARTITION BY project, shown_name ORDER BY file_ord DESC, begin_row DESC, begin_col DESC) = 1
 )""")
 
 
@@ -746,6 +767,10 @@ _add("highlight_counts", f"""
 SELECT a.project, a.filename, count(*) AS n_carets, CAST(sum(coalesce(t.n_regions, 0)) AS BIGINT) AS n_highlighted
 {_TARGETED} GROUP BY ALL""", prefix=_HITS, ctes=_THING + _PER_CARET)
 
+_add("highlight_counts_others", f"""
+SELECT a.project, a.filename, count(*) AS n_carets, CAST(sum(coalesce(t.n_highlighted, 0)) AS BIGINT) AS n_highlighted
+{_TARGETED} GROUP BY ALL""", prefix=_HITS, ctes=_THING + _PER_CARET)
+
 _RENAMED = (
     _THING
     + _STARTS
@@ -753,7 +778,7 @@ _RENAMED = (
 edits AS (
   SELECT DISTINCT t.cursor_id, t.filename, CAST(s.at + t.rsc - 1 AS INTEGER) AS a, CAST(s.at + t.rec - 1 AS INTEGER) AS b,
     substr(s.line, t.rsc, t.rec - t.rsc) AS region_text
-  FROM thing t JOIN asked q ON t.cursor_id = q.cursor_id AND q.begin_row = 2 AND q.cursor_id % 100000 = 1
+  FROM thing t JOIN asked q ON t.cursor_id = q.cursor_id AND q.begin_row = 2 AND split_part(q.cursor_id, ':', 3) = '1'
   JOIN starts s ON s.filename = t.filename AND s.row = t.rrow
   JOIN starts s0 ON s0.filename = t.filename AND s0.row = q.begin_row
   WHERE substr(s.line, t.rsc, t.rec - t.rsc) = substr(s0.line, q.sc, q.ec - q.sc)
@@ -766,7 +791,7 @@ SELECT e.cursor_id, e.filename, md5(string_agg(substr(d.text, e.prev + 1, e.a -
     || substr(any_value(d.text), max(e.b) + 1)) AS new_md5,
   CAST(count(*) AS INTEGER) AS n_edits, 0 AS n_overlapping
 FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY cursor_id ORDER BY a), 0) AS prev FROM edits) e
-JOIN documents d ON d.doc_id = e.cursor_id // 100000000000
+JOIN documents d ON d.doc_id = CAST(split_part(e.cursor_id, ':', 1) AS BIGINT)
 GROUP BY e.cursor_id, e.filename""", prefix=_HITS, ctes=_RENAMED)
 
 # -- state -----------------------------------------------------------------------------
@@ -774,7 +799,7 @@ GROUP BY e.cursor_id, e.filename""", prefix=_HITS, ctes=_RENAMED)
 _LOG = """,
 log AS (
   SELECT *, CAST(1 AS BIGINT) AS run_seq FROM rec
-  UNION ALL SELECT *, 2 FROM rec WHERE file_ord % 3 = 0 AND file_ord % 30 <> 0 AND pos < 400000
+  UNION ALL SELECT *, 2 FROM rec WHERE file_ord % 3 = 0 AND file_ord % 30 <> 0 AND pos < 8589934592
 )"""
 _add("current_records", """
 SELECT project, filename, semantic, run_seq, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM log
@@ -812,25 +837,32 @@ SELECT change_count, view_id, kind, unnest(CASE WHEN kind IN ('activated', 'save
   kind = 'modified' AS is_delayed, kind = 'saved' AS annotate
 FROM applicable""", prefix=_EVENTS)
 
-_add("stale_files", """
-SELECT view_id, max(change_count) AS change_count, max(change_count) FILTER (WHERE change_count < analysed_at) AS analysed_count
-FROM (SELECT *, max(change_count) FILTER (WHERE kind IN ('activated', 'saved')) OVER (PARTITION BY view_id) AS analysed_at FROM ev)
-WHERE kind = 'modified' AND analysed_at IS NOT NULL
-GROUP BY view_id
-HAVING max(change_count) IS DISTINCT FROM max(change_count) FILTER (WHERE change_count < analysed_at)""", prefix=_EVENTS)
+_BURSTS = """
+SELECT view_id, min(ts) AS first_edit, max(ts) + INTERVAL 6 HOUR AS analyse_at, max(change_count) AS change_count, count(*) AS n_edits
+FROM (SELECT *, sum(CASE WHEN ts > prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY view_id ORDER BY ts, change_count) AS burst
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY view_id ORDER BY ts, change_count) AS prev FROM applicable WHERE kind = 'modified'))
+GROUP BY view_id, burst"""
+
+_add("stale_files", f"""
+SELECT v.view_id, v.change_count, a.analysed_count
+FROM (SELECT view_id, max(change_count) AS change_count FROM applicable WHERE kind = 'modified' GROUP BY ALL) v
+LEFT JOIN (
+  SELECT view_id, max(n) AS analysed_count FROM (
+    SELECT e.view_id, e.change_count AS n FROM applicable e
+    JOIN (SELECT view_id, max(change_count) AS at FROM applicable WHERE kind IN ('activated', 'saved') GROUP BY ALL) s
+      ON e.view_id = s.view_id AND e.change_count < s.at WHERE e.kind = 'modified'
+    UNION ALL SELECT view_id, change_count FROM ({_BURSTS}) WHERE analyse_at <= (SELECT max(ts) FROM ev))
+  GROUP BY ALL) a ON v.view_id = a.view_id
+WHERE v.change_count IS DISTINCT FROM a.analysed_count""", prefix=_EVENTS)
 
 _add("closed_view_state", """
-SELECT view_id, count(*) AS n FROM ev e WHERE kind = 'modified' AND change_count > coalesce(
-  (SELECT max(change_count) FROM ev c WHERE c.kind = 'closed' AND c.view_id = e.view_id), -1)
+SELECT view_id, count(*) AS n FROM applicable e WHERE kind = 'modified' AND change_count > coalesce(
+  (SELECT max(change_count) FROM applicable c WHERE c.kind = 'closed' AND c.view_id = e.view_id), -1)
 GROUP BY ALL""", prefix=_EVENTS)
 
 # A burst goes on while the next edit comes within the gap, or exactly at its end.
 for _name in ("debounced_edits", "debounced_edits_stream"):
-    _add(_name, """
-SELECT view_id, min(ts) AS first_edit, max(ts) + INTERVAL 6 HOUR AS analyse_at, max(change_count) AS change_count, count(*) AS n_edits
-FROM (SELECT *, sum(CASE WHEN ts > prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY view_id ORDER BY ts, change_count) AS burst
-  FROM (SELECT *, lag(ts) OVER (PARTITION BY view_id ORDER BY ts, change_count) AS prev FROM ev WHERE kind = 'modified'))
-GROUP BY view_id, burst""", prefix=_EVENTS)
+    _add(_name, _BURSTS, prefix=_EVENTS)
 
 # -- archives --------------------------------------------------------------------------
 

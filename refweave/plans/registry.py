@@ -23,6 +23,7 @@ from ..operators import rewrite as rw
 from ..operators import scopes as sp
 from ..operators.dedupe import dedupe, dedupe_answers, mark_single
 from ..operators.report import usage_report
+from ..schema import RECORD_FIELDS
 from ..session import derived_table, scratch, spread
 from ..sources import documents as docs
 from ..sources import files as fs
@@ -142,15 +143,11 @@ def records_(spark, sf):
 
 @query
 def valid_records(spark, sf):
-    r = records(spark, sf)
-    counts = [
-        df.groupBy("project", "semantic").agg(F.count("*").alias(name))
-        for name, df in (("n_all", r), ("n_with_row", ix.with_row(r)), ("n_valid", ix.valid_records(r)))
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.join(c, ["project", "semantic"], "left")
-    return out.na.fill(0)
+    return records(spark, sf).groupBy("project", "semantic").agg(
+        F.count("*").alias("n_all"),
+        F.count_if(ix.has_row()).alias("n_with_row"),
+        F.count_if(ix.is_valid()).alias("n_valid"),
+    )
 
 
 @query
@@ -177,6 +174,23 @@ def report_scan(spark, sf):
     )
 
 
+@query
+def report_quarantine(spark, sf):
+    """Reports of all scopes, some cut short and some no objects: what is read and what is set aside."""
+    doc = F.regexp_extract("filename", "/d([0-9]+)", 1).cast("bigint")
+    cut = F.left("value", F.floor(F.length("value") / 2).cast("int"))
+    reports = rp.to_reports(records(spark, sf)).withColumns(
+        {"value": F.when(doc % 7 == 0, cut).when(doc % 7 == 1, "[1]").otherwise(F.col("value")),
+         "run_seq": F.lit(1).cast("bigint")}
+    )
+    parsed = rp.parse_reports(reports)
+    set_aside = rp.quarantine(parsed).groupBy("project", "scope").agg(F.count("*").alias("n_quarantined"))
+    read = rp.report_records(parsed).groupBy("project", "scope").agg(
+        F.count("*").alias("n_records"), F.countDistinct("filename").alias("n_files")
+    )
+    return set_aside.join(read, ["project", "scope"], "full").na.fill(0)
+
+
 @query
 def report_summaries(spark, sf):
     reports = rp.to_reports(records(spark, sf)).withColumn("run_seq", F.lit(1).cast("bigint"))
@@ -330,13 +344,12 @@ def labels(spark, sf):
 
 @query
 def inspect(spark, sf):
-    """Records as key-value pairs, and how often each pair occurs."""
-    r = records(spark, sf)
-    fields = [c for c in r.columns if c not in ("doc", "message", "arglist_strs", "fixed_arities")]
-    pairs = r.select(F.explode(rp.inspect(F.to_json(F.struct(*fields)))).alias("k", "v"))
-    return pairs.where(F.col("k").isin("name", "to_ns", "symbol", "reg", "level", "semantic")).groupBy("k", "v").agg(
-        F.count("*").alias("n")
+    """Records as key-value pairs, all fields, and how often each pair occurs."""
+    r = records(spark, sf).withColumns(
+        {"arglist_strs": F.array_join("arglist_strs", " "), "fixed_arities": F.array_join("fixed_arities", " ")}
     )
+    shown = r.select(F.explode(rp.pairs([c for c, _, _ in RECORD_FIELDS])).alias("p")).select("p.*")
+    return shown.groupBy("k", "v").agg(F.count("*").alias("n"))
 
 
 @query
@@ -678,16 +691,31 @@ def carets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def region_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions by file and the key they share."""
+    return derived_table(spark, "region_groups", sf, lambda: rg.region_groups(records(spark, sf)))
+
+
 @query
 def highlights(spark, sf):
-    h = rg.highlights(carets(spark, sf), records(spark, sf))
+    h = rg.highlights(carets(spark, sf), region_groups(spark, sf))
     return h.select("cursor_id", "hit_type", "n_regions", "n_highlighted")
 
 
+def _highlight_counts(spark, sf, highlight_self: bool) -> DataFrame:
+    counts = rg.highlight_counts(carets(spark, sf), region_groups(spark, sf), highlight_self)
+    return counts.select("project", "filename", "n_carets", "n_highlighted")
+
+
 @query
 def highlight_counts(spark, sf):
-    counts = rg.highlight_counts(carets(spark, sf), records(spark, sf), highlight_self=True)
-    return counts.select("project", "filename", "n_carets", "n_highlighted")
+    return _highlight_counts(spark, sf, True)
+
+
+@query
+def highlight_counts_others(spark, sf):
+    """Without what each caret itself is on, as an editor counts by default."""
+    return _highlight_counts(spark, sf, False)
 
 
 def _rename_regions(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -718,7 +746,7 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     Of the files run again, those with ``doc_id % 30 = 0`` came back without records.
     """
     first = records(spark, sf).withColumn("run_seq", F.lit(1).cast("bigint"))
-    again = first.where((F.col("file_ord") % 3 == 0) & (F.col("file_ord") % 30 != 0) & (F.col("pos") < 400_000))
+    again = first.where((F.col("file_ord") % 3 == 0) & (F.col("file_ord") % 30 != 0) & (F.col("pos") < F.lit(4 << 31)))
     return first.unionByName(again.withColumn("run_seq", F.lit(2).cast("bigint")))
 
 
@@ -774,32 +802,38 @@ def refresh_requests(spark, sf):
     return r.select("change_count", "view_id", "kind", "refresh", "is_delayed", "annotate")
 
 
+# Events of the table are hours apart, so pauses are counted in hours here.
+GAP = "6 hours"
+
+
 @query
 def stale_files(spark, sf):
-    events = editor_events(spark, sf)
-    return st.stale_files(ev.view_versions(events), ev.view_analyses(events))
+    """Views changed since their last analysis, as of the last event."""
+    events = ev.applicable(editor_events(spark, sf))
+    now = editor_events(spark, sf).agg(F.max("ts").cast("timestamp_ntz")).first()[0]
+    due = ev.debounced(events, GAP).where(F.col("analyse_at").cast("timestamp_ntz") <= F.lit(now))
+    return st.stale_files(ev.view_versions(events), ev.view_analyses(events, due))
 
 
 @query
 def closed_view_state(spark, sf):
     """Edits still known after views were closed."""
-    events = editor_events(spark, sf)
+    events = ev.applicable(editor_events(spark, sf))
     log = events.where("kind = 'modified'").select("view_id", F.col("change_count").alias("run_seq"))
     kept = st.without_cleared(log, ev.closed_views(events), ["view_id"])
     return kept.groupBy("view_id").agg(F.count("*").alias("n"))
 
 
-# Events of the table are hours apart, so pauses are counted in hours here.
-GAP = "6 hours"
-
-
 def _bursts(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_edit", "analyse_at")})
 
 
 @query
 def debounced_edits(spark, sf):
-    return _bursts(ev.debounced(editor_events(spark, sf), GAP))
+    return _bursts(ev.debounced(ev.applicable(editor_events(spark, sf)), GAP))
+
+
+_LAST_USER = 9_000_000_000_001  # of the closing event; like all others it has to be applicable
 
 
 @query
@@ -809,16 +843,16 @@ def debounced_edits_stream(spark, sf):
     last = scratch(spark, "sentinel")
     (
         events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"), F.max("event_id").alias("event_id"))
-        .select("event_id", "ts", F.lit(-1).cast("bigint").alias("user_id"), F.lit("click").alias("event_type"),
+        .select("event_id", "ts", F.lit(_LAST_USER).cast("bigint").alias("user_id"), F.lit("click").alias("event_type"),
                 F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
         .write.parquet(last)
     )
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf).unionByName(
         spark.readStream.schema(events.schema).parquet(last)
     )
-    bursts = ev.debounced(as_editor_events(stream), GAP)
+    bursts = ev.debounced(ev.applicable(as_editor_events(stream)), GAP)
     out = ig.to_table(bursts, scratch(spark, "bursts"), scratch(spark, "bursts-state"))
-    return _bursts(out.where(F.col("view_id") != "v-1"))
+    return _bursts(out.where(F.col("view_id") != f"v{_LAST_USER}"))
 
 
 # -- archives ------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: dict[str, str] = {}
+_local_folder: dict[str, tempfile.TemporaryDirectory] = {}  # removed when Python ends
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -42,8 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="refweave-")
-    return _local_folder[app]
+        _local_folder[app] = tempfile.TemporaryDirectory(prefix="refweave-", ignore_cleanup_errors=True)
+    return _local_folder[app].name
 
 
 def scratch(spark: SparkSession, name: str) -> str:

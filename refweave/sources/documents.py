@@ -151,7 +151,7 @@ def records(documents: DataFrame) -> DataFrame:
         "alias_col": F.when(sem == "namespace_usage", F.col("col")),
         "alias_end_row": F.when(sem == "namespace_usage", row),
         "alias_end_col": F.when(sem == "namespace_usage", name_end),
-        "local_id": F.when(sem.isin("local", "local_usage"), doc * 100000 + row),
+        "local_id": F.when(sem.isin("local", "local_usage"), row.cast("bigint")),
         "class_name": F.when(sem == "java_class_usage", name),
         "method_name": F.when((sem == "java_class_usage") & F.endswith("tok", F.lit(".")), F.lit("m")),
         "symbol": F.when(sem == "symbol", F.concat(own, F.lit("/"), name)),
@@ -173,7 +173,7 @@ def records(documents: DataFrame) -> DataFrame:
         "semantic",
         "ext",
         doc.cast("bigint").alias("file_ord"),
-        (row.cast("bigint") * 100000 + i).alias("pos"),
+        (F.shiftleft(row.cast("bigint"), 31) + i).alias("pos"),
         *(
             values.get(column, F.lit(None)).cast(kind).alias(column)
             for column, _, kind in RECORD_FIELDS
@@ -185,7 +185,7 @@ def cursors(documents: DataFrame) -> DataFrame:
     """A caret in the middle of every word of every document."""
     at = F.col("col") + F.floor(F.length("name") / 2).cast("int")
     return tokens(documents).select(
-        (F.col("doc_id") * 100_000_000_000 + F.col("row").cast("bigint") * 100_000 + F.col("i")).alias("cursor_id"),
+        F.concat_ws(":", "doc_id", "row", "i").alias("cursor_id"),
         "project",
         "filename",
         F.col("row").alias("begin_row"),
@@ -199,6 +199,6 @@ def requests(documents: DataFrame, new_text: str = "renamed") -> DataFrame:
     """One rename per document: the caret on the first word of its second line."""
     return (
         cursors(documents)
-        .where((F.col("begin_row") == 2) & (F.col("cursor_id") % 100_000 == 1))
+        .where((F.col("begin_row") == 2) & F.endswith("cursor_id", F.lit(":2:1")))
         .withColumn("new_text", F.lit(new_text))
     )

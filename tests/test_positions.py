@@ -90,9 +90,9 @@ def f_records(make):
 def test_highlights_leave_out_the_caret_itself(spark, make):
     r = f_records(make)
     asked = ps.at_position(r, carets(spark, (1, 7), (3, 2), (2, 6), (1, 1)))
-    got = {x.cursor_id: (x.n_regions, x.n_highlighted) for x in rg.highlights(rg.caret_targets(asked, r), r).collect()}
+    got = {x.cursor_id: (x.n_regions, x.n_highlighted) for x in rg.highlights(rg.caret_targets(asked, r), rg.region_groups(r)).collect()}
     assert got == {0: (3, 2), 1: (3, 2), 2: (2, 1)}
-    whole = rg.highlight_counts(rg.caret_targets(asked, r), r, highlight_self=True).first()
+    whole = rg.highlight_counts(rg.caret_targets(asked, r), rg.region_groups(r), highlight_self=True).first()
     assert (whole.n_carets, whole.n_highlighted) == (3, 8)
 
 
@@ -113,7 +113,8 @@ def test_rename_skips_other_text_and_reports_overlap(spark):
         "cursor_id int, project string, filename string, a int, b int")
     requests = spark.createDataFrame([(1, "X")], "cursor_id int, new_text string")
     out = rw.renamed_files(regions, requests, files).first()
-    assert (out.n_edits, out.n_overlapping) == (1, 2) and out.new_content == "Xaa b"
+    # The third overlaps the second, which is left out itself.
+    assert (out.n_edits, out.n_overlapping) == (2, 1) and out.new_content == "XX b"
 
 
 def test_archives(spark, tmp_path):

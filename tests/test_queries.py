@@ -26,7 +26,7 @@ def canonical(table, columns):
     return sorted(tuple("\0" if r[i] is None else str(r[i]) for i in order) for r in table)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     cursor = con.execute(SQL[name])
