@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,6 +48,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed, and how to name them back."""
+    back = {}
+    for name in df.columns:
+        if name in names:
+            new = unused(df, f"_{name}")
+            df, back[new] = df.withColumnRenamed(name, new), name
+    return df, back
+
+
 def with_matches(
     df: DataFrame, name: str, text: str, pattern: str, possible: Column, measure: Callable[[Column], Column] = F.length
 ) -> DataFrame:

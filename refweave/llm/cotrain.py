@@ -26,6 +26,7 @@ LABELLED, POOL = 6000, 6000
 ROUNDS, EXCHANGED = 4, 0.05  # of the pool, per round and view
 HELD_OUT = 0.25
 LOST = 0.005  # share of held-out good documents that the threshold may reject
+ADDED = ["text_score", "page_score", "score", "kept"]
 _TRIGRAMS, _NAMES = 1024, 32
 _CHARS = 1 << 20
 
@@ -206,7 +207,7 @@ def classify(
     """
     bounded_batches(docs.sparkSession)
     model = train(docs, labels, key, text, lang, source, n_chars, target)
-    names = ["text_score", "page_score", "score", "kept"]
+    names = ADDED
     kept = [c for c in docs.columns if c not in names]
     if model is None:
         return docs.select(*kept, *(F.lit(0.5).alias(c) for c in names[:3]), F.lit(True).alias("kept"))

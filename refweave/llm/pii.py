@@ -24,6 +24,7 @@ from refweave.llm.common import lower_ascii, text_of, with_matches
 
 KINDS = ["email", "ip", "card", "phone", "name", "number", "secret"]
 BASE = KINDS[:4]
+ADDED = ["_base", "_candidates", "spans"]  # columns
 
 # Possessive, and begun at the end of the last match or where no earlier start can match:
 # the same matches as the plain patterns, in linear time and without recursion.
