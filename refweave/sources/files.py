@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_HELD = 8 << 20  # characters a task decodes before it passes them on
+
 
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """``(filename, content)``, one row per file."""
@@ -37,28 +40,45 @@ def wanted_members(filenames: DataFrame) -> DataFrame:
 
 
 def read_members(archives: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(archive, member, content)`` of the wanted members.
+    """``(archive, member, content, error)`` of the wanted members.
 
     Spark pairs each archive with the list of members wanted from it, so an archive is
-    opened once, by one task, and only wanted members are decoded.
+    opened once, by one task, and only wanted members are decoded, a bounded number of
+    characters at a time.  An archive or member that cannot be read gives a row with the
+    ``error`` and no content; other archives of the task are read all the same.
     """
     lists = wanted.groupBy("archive").agg(F.collect_set("member").alias("members"))
+    columns = ["archive", "member", "content", "error"]
+
+    def contents(archive: str, content: bytes, members: list[str]) -> Iterator[tuple]:
+        try:
+            opened = zipfile.ZipFile(io.BytesIO(content))
+            present = set(opened.namelist())
+        except (zipfile.BadZipFile, OSError, ValueError) as e:
+            yield archive, None, None, str(e)
+            return
+        for member in members:
+            if member in present:
+                try:
+                    yield archive, member, opened.read(member).decode(), None
+                except (zipfile.BadZipFile, zlib.error, UnicodeDecodeError, OSError, RuntimeError, NotImplementedError) as e:
+                    yield archive, member, None, str(e)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for archive, content, members in zip(batch["archive"], batch["content"], batch["members"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as opened:
-                    present = set(opened.namelist())
-                    rows += [
-                        (archive, member, opened.read(member).decode())
-                        for member in members
-                        if member in present
-                    ]
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+            for archive in zip(batch["archive"], batch["content"], batch["members"]):
+                for row in contents(*archive):
+                    rows.append(row)
+                    size += len(row[2] or "")
+                    if size > _HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     return archives.join(lists, "archive").select("archive", "content", "members").mapInPandas(
-        decode, "archive string, member string, content string"
+        decode, "archive string, member string, content string, error string"
     )
 
 

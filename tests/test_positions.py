@@ -122,10 +122,14 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(jar, "w") as z:
         z.writestr("a/b.clj", "(ns a.b) é")
         z.writestr("c.clj", "(ns c)")
-    names = [f"{jar}:a/b.clj", f"{jar}:gone.clj", "/plain.clj", f"{jar}:x:y"]
+        z.writestr("bytes.clj", b"\xff\xfe")
+    bad = tmp_path / "bad.jar"
+    bad.write_bytes(b"no archive")
+    names = [f"{jar}:a/b.clj", f"{jar}:gone.clj", "/plain.clj", f"{jar}:x:y", f"{jar}:bytes.clj", f"{bad}:c.clj"]
     wanted = fs.wanted_members(spark.createDataFrame([(n,) for n in names], "filename string"))
     got = fs.read_members(fs.scan_archives(spark, str(tmp_path)), wanted)
-    assert rows(got, "archive", "member", "content") == [(str(jar), "a/b.clj", "(ns a.b) é")]
+    assert rows(got.where("error IS NULL"), "archive", "member", "content") == [(str(jar), "a/b.clj", "(ns a.b) é")]
+    assert rows(got.where("error IS NOT NULL"), "archive", "member") == [(str(bad), None), (str(jar), "bytes.clj")]
 
 
 def test_text_scan(spark, tmp_path):
