@@ -843,8 +843,7 @@ FROM (SELECT *, sum(CASE WHEN ts > prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVE
   FROM (SELECT *, lag(ts) OVER (PARTITION BY view_id ORDER BY ts, change_count) AS prev FROM applicable WHERE kind = 'modified'))
 GROUP BY view_id, burst"""
 
-_add("stale_files", f"""
-SELECT v.view_id, v.change_count, a.analysed_count
+_VIEW_STATE = f"""
 FROM (SELECT view_id, max(change_count) AS change_count FROM applicable WHERE kind = 'modified' GROUP BY ALL) v
 LEFT JOIN (
   SELECT view_id, max(n) AS analysed_count FROM (
@@ -852,8 +851,18 @@ LEFT JOIN (
     JOIN (SELECT view_id, max(change_count) AS at FROM applicable WHERE kind IN ('activated', 'saved') GROUP BY ALL) s
       ON e.view_id = s.view_id AND e.change_count < s.at WHERE e.kind = 'modified'
     UNION ALL SELECT view_id, change_count FROM ({_BURSTS}) WHERE analyse_at <= (SELECT max(ts) FROM ev))
-  GROUP BY ALL) a ON v.view_id = a.view_id
-WHERE v.change_count IS DISTINCT FROM a.analysed_count""", prefix=_EVENTS)
+  GROUP BY ALL) n ON v.view_id = n.view_id"""
+
+_add("stale_files", f"""
+SELECT v.view_id, v.change_count, n.analysed_count {_VIEW_STATE}
+WHERE v.change_count IS DISTINCT FROM n.analysed_count""", prefix=_EVENTS)
+
+_add("fresh_highlights", f"""
+SELECT f.view_id, h.filename, h.n_carets, h.n_highlighted
+FROM (SELECT a.filename, count(*) AS n_carets, CAST(sum(coalesce(t.n_highlighted, 0)) AS BIGINT) AS n_highlighted
+  {_TARGETED} GROUP BY ALL) h
+JOIN (SELECT v.view_id {_VIEW_STATE} WHERE v.change_count = n.analysed_count) f
+  ON f.view_id = 'v' || regexp_extract(h.filename, '/d([0-9]+)', 1)""", prefix=_HITS, ctes=_THING + _PER_CARET + "," + _EVENTS)
 
 _add("closed_view_state", """
 SELECT view_id, count(*) AS n FROM applicable e WHERE kind = 'modified' AND change_count > coalesce(

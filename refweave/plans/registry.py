@@ -806,13 +806,27 @@ def refresh_requests(spark, sf):
 GAP = "6 hours"
 
 
-@query
-def stale_files(spark, sf):
-    """Views changed since their last analysis, as of the last event."""
+def _view_state(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Newest edit and last analysis of each view, as of the last event."""
     events = ev.applicable(editor_events(spark, sf))
     now = editor_events(spark, sf).agg(F.max("ts").cast("timestamp_ntz")).first()[0]
     due = ev.debounced(events, GAP).where(F.col("analyse_at").cast("timestamp_ntz") <= F.lit(now))
-    return st.stale_files(ev.view_versions(events), ev.view_analyses(events, due))
+    return ev.view_versions(events), ev.view_analyses(events, due)
+
+
+@query
+def stale_files(spark, sf):
+    """Views changed since their last analysis."""
+    return st.stale_files(*_view_state(spark, sf))
+
+
+@query
+def fresh_highlights(spark, sf):
+    """Highlights of views analysed at their present version; document n is open in view n."""
+    counts = _highlight_counts(spark, sf, False).withColumn(
+        "view_id", F.concat(F.lit("v"), F.regexp_extract("filename", "/d([0-9]+)", 1))
+    )
+    return st.fresh(counts, *_view_state(spark, sf), ["view_id"]).select("view_id", "filename", "n_carets", "n_highlighted")
 
 
 @query
