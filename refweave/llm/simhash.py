@@ -26,6 +26,9 @@ BIN = 16384  # members of the shards that one Python call works on, about
 _QUERIES = 2048  # searched at a time
 _SHINGLES = 1 << 16  # whose bits are counted at a time
 _KIND_BITS = 5  # of a shard's name
+LEAST = 0.8  # Jaccard similarity of near copies, over shingles of
+JACCARD_WIDTH = 5  # words
+_MAP = 1 << 26  # bits
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -277,28 +280,112 @@ def _one_kind(fps: DataFrame) -> DataFrame:
     return fps.select(F.lit(0).alias("kind"), "fp", F.col("fp").alias("node"))
 
 
+def _normalized(text: str) -> bytes:
+    return b" ".join(text.encode("utf-8", "surrogatepass").translate(_UPPER).split())
+
+
+def shingle_set(text: str, width: int = JACCARD_WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; of fewer words: of the text as a whole."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width, 42)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; of two empty ones: 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> DataFrame:
+    """``(key, same, fps)``: a hash of all words, equal for equal texts only, and the fingerprints."""
+    import xxhash
+
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            same = [xxhash.xxh3_128_digest(_normalized(t)) for t in texts]
+            fps = [several_fingerprints(t, width, several) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=[key, "same", "fps"]
+            )
+
+    return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, f"`{key}` bigint, same binary, fps array<bigint>")
+
+
+def _texts_of(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(_key, _text)`` of documents in ``pairs(a, b)`` and a few others.
+
+    A bit map of hashed keys, of at most ``_MAP`` bits, keeps the texts of all other documents out of the shuffle.
+    """
+    at = F.pmod(F.xxhash64("n"), F.lit(_MAP))
+    found = (
+        pairs.select(F.explode(F.array("a", "b")).alias("n"))
+        .groupBy(F.expr(f"pmod(xxhash64(n), {_MAP}) div 64").alias("at"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(n), {_MAP}) % 64 as int))")).alias("bits"))
+        .toPandas()
+    )
+    bits = np.zeros(_MAP // 64, np.int64)
+    bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            place = batch.column(2).to_numpy()
+            inside = (held[place >> 6] >> (place & 63)) & 1 == 1
+            yield batch.select([0, 1]).filter(pa.array(inside))
+
+    docs = df.select(F.col(key).alias("n"), text_of(text).alias("_text"))
+    return docs.select(F.col("n").alias("_key"), "_text", at.alias("at")).mapInArrow(run, "_key bigint, _text string")
+
+
+def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
+    """Those of the distinct ``pairs(a, b)`` of keys whose texts have a Jaccard similarity of ``least`` or more.
+
+    Exact over the sets of five-word shingles.  ``b`` may be a hub: its set is kept from row to row.
+    """
+    pairs = written(pairs, "pairs")
+    texts = _texts_of(pairs, df, key, text)
+    first = join_unique(pairs, texts.withColumnsRenamed({"_key": "a", "_text": "text_a"}), ["a"])
+    both = join_unique(first, texts.withColumnsRenamed({"_key": "b", "_text": "text_b"}), ["b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, None
+        for batch in batches:
+            near = []
+            for n, b in enumerate(batch.column(1).to_pylist()):
+                if b != hub:
+                    hub, held = b, shingle_set(batch.column(3)[n].as_py())
+                near.append(jaccard(shingle_set(batch.column(2)[n].as_py()), held) >= least)
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_copies(
     df: DataFrame, key: str, text: str, width: int = 2, several: int = 8, radius: int = 4, size: int = SHARD
 ) -> DataFrame:
     """``(key, component_id)`` per row, for copies with edits; ``key`` is a unique long.
 
-    One fingerprint within 4 bits only tells copies with next to no edits.  Here documents are linked
-    if any of ``several`` independent fingerprints are, over sets of shorter shingles, of which an
-    edit changes fewer.  Copies with a Jaccard similarity of 0.8 or more over five-word shingles
-    are found all but certainly, those of 0.6 to 0.8 in part, others not.  Texts without words are linked.
+    Candidates are documents of which any of ``several`` independent fingerprints, over sets of
+    ``width``-word shingles, are linked.  Each link between different texts is an edge only if the
+    Jaccard similarity of their five-word shingles is ``LEAST`` or more.  Texts without words are one text.
     """
     if several >= 1 << _KIND_BITS:
         raise ValueError("too many fingerprints")
-    rows = written(fingerprints(df, key, text, width, several=several), "fingerprints")
-    nodes = written(rows.groupBy("fps").agg(F.min(key).alias("node")), "nodes")
+    rows = written(sketches(df, key, text, width, several), "sketches")
+    # The same text is one node, however many rows have it.
+    nodes = written(rows.groupBy("same").agg(F.min_by("fps", key).alias("fps"), F.min(key).alias("node")), "nodes")
     spread = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
     # A fingerprint stands for the smallest node that has it.
     first = written(spread.groupBy("kind", "fp").agg(F.min("node").alias("first")), "first")
     shared = join_unique(spread, first, ["kind", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    edges = shared.where("a != b").unionByName(links(first.withColumnRenamed("first", "node"), radius, size))
-    roots = components(edges)
-    named = join_unique(nodes, roots, ["node"], "left").select("fps", F.coalesce("root", "node").alias("component_id"))
-    return join_unique(rows, named, ["fps"]).select(key, "component_id")
+    pairs = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size)).where("a != b").distinct()
+    roots = components(verified(pairs, df, key, text))
+    named = join_unique(nodes, roots, ["node"], "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return join_unique(rows.select(key, "same"), named, ["same"]).select(key, "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -116,3 +116,23 @@ def test_near_copies_with_edits(spark):
     near = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
     assert np.mean([got[i] == got[j] for i, j in near]) > 0.98
     assert all(group[i] == group[got[i]] and got[i] <= i for i in got)
+
+
+def test_distinct_texts_with_near_fingerprints_stay_apart(spark):
+    rng = random.Random(9)
+    digits = [f"{n:02x}" for n in range(256)]
+    dumps = [" ".join(rng.choices(digits, k=300_000)) for _ in range(2)]
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(4000)]
+    rows = [*dumps, dumps[0].upper()]
+    for _ in range(40):
+        words = rng.choices(vocab, k=300)
+        copy = list(words)
+        for at in range(0, 300, 30):
+            copy[at + rng.randrange(30)] = rng.choice(vocab)
+        rows += [" ".join(words), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    got = dict(map(tuple, simhash.near_copies(df, "id", "text").collect()))
+    assert [got[i] for i in range(3)] == [0, 1, 0]
+    far = [i for i in range(3, len(rows), 2) if jaccard(rows[i], rows[i + 1]) < 0.8]
+    assert len(far) > 20
+    assert all(got[i] != got[i + 1] for i in far)
