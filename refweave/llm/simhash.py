@@ -29,6 +29,9 @@ _KIND_BITS = 5  # of a shard's name
 LEAST = 0.8  # Jaccard similarity of near copies, over shingles of
 JACCARD_WIDTH = 5  # words
 _MAP = 1 << 26  # bits
+BANDS, BAND = 24, 5  # a similarity of 0.8 misses all bands with probability 1e-4
+_MIXED = 1 << 13  # shingles whose hashes are mixed at a time
+_FACTORS, _TERMS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND, 1), np.uint64) | np.uint64(1)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -290,6 +293,18 @@ def shingle_set(text: str, width: int = JACCARD_WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def bands(shingles: np.ndarray) -> list[int]:
+    """A hash per band of ``BAND`` min-wise hashes: two sets agree in each with a probability of their similarity."""
+    least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for start in range(0, len(shingles), _MIXED):
+        least = np.minimum(least, (shingles[start : start + _MIXED] * _FACTORS + _TERMS).min(axis=1))
+    out = np.zeros(BANDS, np.uint64)
+    for part in least.reshape(BANDS, BAND).T:
+        out = (out ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64).tolist()
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted sets; of two empty ones: 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -297,7 +312,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> DataFrame:
-    """``(key, same, fps)``: a hash of all words, equal for equal texts only, and the fingerprints."""
+    """``(key, same, fps, bands)``: a hash of all words, equal for equal texts only, fingerprints and bands."""
     import xxhash
 
     bounded_batches(df.sparkSession)
@@ -307,11 +322,14 @@ def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> Da
             texts = batch.column(1).to_pylist()
             same = [xxhash.xxh3_128_digest(_normalized(t)) for t in texts]
             fps = [several_fingerprints(t, width, several) for t in texts]
+            found = [bands(shingle_set(t)) for t in texts]
+            longs = (pa.array(x, pa.list_(pa.int64())) for x in (fps, found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=[key, "same", "fps"]
+                [batch.column(0), pa.array(same, pa.binary()), *longs], names=[key, "same", "fps", "bands"]
             )
 
-    return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, f"`{key}` bigint, same binary, fps array<bigint>")
+    schema = f"`{key}` bigint, same binary, fps array<bigint>, bands array<bigint>"
+    return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, schema)
 
 
 def _texts_of(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
@@ -370,20 +388,40 @@ def near_copies(
     """``(key, component_id)`` per row, for copies with edits; ``key`` is a unique long.
 
     Candidates are documents of which any of ``several`` independent fingerprints, over sets of
-    ``width``-word shingles, are linked.  Each link between different texts is an edge only if the
-    Jaccard similarity of their five-word shingles is ``LEAST`` or more.  Texts without words are one text.
+    ``width``-word shingles, are linked, and documents that agree in a band of min-wise hashes, which
+    finds a similarity of 0.8 or more wherever the edits lie.  Each link between different texts is an
+    edge only if the Jaccard similarity of their five-word shingles is ``LEAST`` or more.
+
+    Members of a band are linked with its smallest node first, and then, if not yet connected, with
+    one drawn by a hash for each band.  So not all pairs of a band meet: in a group of which many are less
+    similar than ``LEAST``, a pair is missed if each band that it shares has another member in front.
+    Texts without words are one text.
     """
     if several >= 1 << _KIND_BITS:
         raise ValueError("too many fingerprints")
     rows = written(sketches(df, key, text, width, several), "sketches")
     # The same text is one node, however many rows have it.
-    nodes = written(rows.groupBy("same").agg(F.min_by("fps", key).alias("fps"), F.min(key).alias("node")), "nodes")
+    nodes = written(rows.groupBy("same").agg(*(F.min_by(c, key).alias(c) for c in ("fps", "bands")), F.min(key).alias("node")), "nodes")
     spread = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
     # A fingerprint stands for the smallest node that has it.
     first = written(spread.groupBy("kind", "fp").agg(F.min("node").alias("first")), "first")
     shared = join_unique(spread, first, ["kind", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    pairs = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size)).where("a != b").distinct()
-    roots = components(verified(pairs, df, key, text))
+    agreed = nodes.select("node", F.posexplode("bands").alias("n", "band"))
+
+    def stars(rank: Column) -> DataFrame:
+        head = agreed.groupBy("n", "band").agg(F.min_by("node", rank).alias("b"), F.count("*").alias("c")).where("c > 1")
+        return join_unique(agreed, head.drop("c"), ["n", "band"]).select(F.col("node").alias("a"), "b")
+
+    pairs = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size)).unionByName(stars(F.col("node")))
+    edges = written(verified(pairs.where("a != b").distinct(), df, key, text), "near")
+    roots = written(components(edges), "roots")
+    # What is connected need not be compared again; the rest of a band may have met an unlike member only.
+    again = stars(F.xxhash64("n", "node")).where("a != b").distinct()
+    for side in ("a", "b"):
+        of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        again = join_unique(again, of_side, [side], "left")
+    again = again.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    roots = components(edges.unionByName(verified(again, df, key, text)))
     named = join_unique(nodes, roots, ["node"], "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return join_unique(rows.select(key, "same"), named, ["same"]).select(key, "component_id")
 

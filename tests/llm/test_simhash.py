@@ -136,3 +136,22 @@ def test_distinct_texts_with_near_fingerprints_stay_apart(spark):
     far = [i for i in range(3, len(rows), 2) if jaccard(rows[i], rows[i + 1]) < 0.8]
     assert len(far) > 20
     assert all(got[i] != got[i + 1] for i in far)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_near_copies_with_a_changed_passage(spark, share):
+    rng = random.Random(10)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(4000)]
+    rows, n = [], 300
+    for _ in range(100):
+        words = rng.choices(vocab, k=n)
+        size = int(n * share)
+        extra = rng.choices(vocab, k=size)
+        at = rng.randrange(n - size)
+        rows += [words, words + extra, extra + words, words[size:], words[:at] + extra[: size // 2] + words[at + size // 2 :]]
+    rows = [" ".join(words) for words in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    got = dict(map(tuple, simhash.near_copies(df, "id", "text").collect()))
+    near = [(i - i % 5, i) for i in range(len(rows)) if i % 5 and jaccard(rows[i - i % 5], rows[i]) >= 0.8]
+    assert len(near) >= 300 * (share < 0.2) + 90
+    assert np.mean([got[i] == got[j] for i, j in near]) > 0.98
