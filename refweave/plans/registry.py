@@ -737,6 +737,22 @@ def renamed_files(spark, sf):
     return out.select("cursor_id", "filename", F.md5("new_content").alias("new_md5"), "n_edits", "n_overlapping")
 
 
+def _rename_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return rg.rename_tables(asked(spark, sf), carets(spark, sf), region_groups(spark, sf), files(spark, sf))
+
+
+@query
+def rename_targets(spark, sf):
+    """The groups that each caret selects or renames."""
+    return _rename_tables(spark, sf)[0].select("cursor_id", "filename", "key", "region_text")
+
+
+@query
+def rename_edits(spark, sf):
+    """The regions of each group that a caret selects or renames."""
+    return _rename_tables(spark, sf)[1].select("filename", "key", "region_text", "a", "b")
+
+
 # -- state -------------------------------------------------------------------------------------
 
 

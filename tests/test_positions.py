@@ -106,6 +106,19 @@ def test_rename(spark, make):
     assert (out.n_edits, out.n_overlapping) == (3, 0)
 
 
+def test_rename_tables_answer_every_caret(spark, make):
+    r = f_records(make)
+    files = spark.createDataFrame([("p", "/p/a.clj", CONTENT)], "project string, filename string, content string")
+    asked = ps.at_position(r, carets(spark, (1, 7), (1, 10), (2, 4), (2, 6), (3, 2), (1, 1))).localCheckpoint()
+    keyed, groups = rg.caret_targets(asked, r).localCheckpoint(), rg.region_groups(r).localCheckpoint()
+    targets, edits = (df.collect() for df in rg.rename_tables(asked, keyed, groups, files))
+    got = {(t.cursor_id, e.a, e.b) for t in targets for e in edits if (t.key, t.region_text) == (e.key, e.region_text)}
+    f, x = [(6, 7), (15, 16), (22, 23)], [(9, 10), (17, 18)]
+    assert got == {(c, *e) for c, es in enumerate([f, x, f, x, f]) for e in es}
+    # Each region once per group, not once per caret.
+    assert len(edits) == len({(e.key, e.a, e.b) for e in edits})
+
+
 def test_rename_skips_other_text_and_reports_overlap(spark):
     files = spark.createDataFrame([("p", "f", "aaaa b")], "project string, filename string, content string")
     regions = spark.createDataFrame(
