@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refweave.llm import bpe, collision_ann, cotrain, licenses, merkle, mixing, perplexity, pii, simhash, tokens, warc
+from refweave.llm import bpe, collision_ann, cotrain, licenses, merkle, mixing, perplexity, pii, repair, simhash, tokens, warc
 from refweave.llm.common import table, written
 from refweave.session import scratch
 
@@ -130,10 +130,15 @@ JOIN folds f ON f.tree = b.tree AND f.i = b.i AND f.step = len(b.way) + 1
 """
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damage(rows), rows)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_byte_bpe, op2_simhash, op3_collision_ann, op4_pii, op5_perplexity, op6_warc, op7_token_counts, op8_licenses, op9_mixing,
-        op10_cotraining, op11_merkle,
+        op10_cotraining, op11_merkle, op12_conversations,
     )
     return {f.__name__: f for f in found}
 
