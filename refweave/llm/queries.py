@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from refweave.llm import bpe, collision_ann, cotrain, licenses, merkle, mixing, perplexity, pii, repair, simhash, tokens, warc
+from refweave.llm import bpe, collision_ann, cotrain, licenses, merkle, mixing, perplexity, pii, repair, repeats, simhash, tokens, warc
 from refweave.llm.common import table, written
 from refweave.session import scratch
 
@@ -135,10 +135,14 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damage(rows), rows)
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_byte_bpe, op2_simhash, op3_collision_ann, op4_pii, op5_perplexity, op6_warc, op7_token_counts, op8_licenses, op9_mixing,
-        op10_cotraining, op11_merkle, op12_conversations,
+        op10_cotraining, op11_merkle, op12_conversations, op13_repeats,
     )
     return {f.__name__: f for f in found}
 
