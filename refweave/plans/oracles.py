@@ -107,8 +107,9 @@ best AS (
   SELECT cursor_id, any_value(c.begin_row) AS begin_row, any_value(c.begin_col) AS begin_col,
     arg_min({'filename': h.filename, 'semantic': h.semantic, 'pos': h.pos, 'hit_type': h.hit_type, 'sc': h.sc, 'ec': h.ec},
             CAST(h.pri AS HUGEINT) * 9223372036854775808 + h.pos) AS h
-  FROM cursors c JOIN hits h
-    ON c.filename = h.filename AND c.begin_row = h.hrow AND h.sc <= c.begin_col AND h.ec >= c.begin_col
+  FROM cursors c JOIN (SELECT *, unnest(range(sc // 32, ec // 32 + 1)) AS bucket FROM hits) h
+    ON c.filename = h.filename AND c.begin_row = h.hrow AND c.begin_col // 32 = h.bucket
+    AND h.sc <= c.begin_col AND h.ec >= c.begin_col
   GROUP BY cursor_id
 ),
 asked AS (
@@ -396,12 +397,14 @@ _lookup("ns_usages", "semantic IN ('namespace_definition', 'namespace_usage')",
 _lookup("usages", "true", _UTARGET, _UPROBES, "uent", "places")
 _lookup("definitions", "true", _DTARGET, _DPROBES, "dent", "places")
 
+# In one pass: the last binding of each local, if any, next to every row of it.
 _add("local_bindings", """
-SELECT u.filename, u.local_id, u.row, u.col, b.row AS binding_row, b.col AS binding_col
-FROM (SELECT * FROM v WHERE semantic = 'local_usage') u
-LEFT JOIN (SELECT * FROM v WHERE semantic = 'local'
-  QUALIFY row_number() OVER (PARTITION BY filename, local_id ORDER BY pos DESC) = 1) b
-  ON u.filename = b.filename AND u.local_id = b.local_id""")
+SELECT filename, local_id, row, col, binding_row, binding_col
+FROM (SELECT semantic, filename, local_id, row, col,
+    arg_max(row, pos) FILTER (WHERE semantic = 'local') OVER same AS binding_row,
+    arg_max(col, pos) FILTER (WHERE semantic = 'local') OVER same AS binding_col
+  FROM v WHERE semantic IN ('local', 'local_usage') WINDOW same AS (PARTITION BY filename, local_id))
+WHERE semantic = 'local_usage'""")
 
 # Extensions that fit: the asker's, with .cljc standing for all and none for .clj.
 _FITS = """list_contains(CASE q.ext WHEN '.cljc' THEN ['.clj', '.cljs', '.cljc'] WHEN '' THEN ['.clj']
@@ -625,10 +628,12 @@ FROM (SELECT * FROM (
     ORDER BY {_KIND_ORD} DESC, file_ord DESC, pos DESC) = 1)""")
 
 _add("ns_usages_in_view", """
-SELECT u.project, u.filename, u.to_ns, u.row, u.col, u.name, s.n_asked
-FROM v u JOIN (SELECT filename, to_ns, count(*) AS n_asked FROM asked
-  WHERE semantic IN ('var_usage', 'namespace_usage') GROUP BY ALL) s ON u.filename = s.filename AND u.to_ns = s.to_ns
-WHERE u.semantic = 'var_usage'""", prefix=_HITS)
+SELECT project, filename, to_ns, row, col, name, n_asked
+FROM (SELECT *, count(*) FILTER (WHERE is_caret) OVER (PARTITION BY filename, to_ns) AS n_asked FROM (
+  SELECT project, filename, to_ns, row, col, name, false AS is_caret FROM v WHERE semantic = 'var_usage'
+  UNION ALL
+  SELECT project, filename, to_ns, NULL, NULL, NULL, true FROM asked WHERE semantic IN ('var_usage', 'namespace_usage')))
+WHERE NOT is_caret AND n_asked > 0""", prefix=_HITS)
 
 _add("findings_sorted", """
 SELECT project, filename, row, col, level, message AS "trigger", 'long-token' AS annotation FROM v WHERE semantic = 'finding'""")
@@ -686,10 +691,12 @@ steps AS (
 )""")
 
 _add("namespace_jump", """
-SELECT n.project, n.filename, n.to_ns, n.row, n.col, n.pos, u.name_row AS next_row, u.name_col AS next_col
-FROM v n JOIN (SELECT * FROM v WHERE semantic = 'var_usage'
-  QUALIFY row_number() OVER (PARTITION BY filename, to_ns ORDER BY pos) = 1) u ON n.filename = u.filename AND n.to_ns = u.to_ns
-WHERE n.semantic = 'namespace_usage'""")
+SELECT project, filename, to_ns, row, col, pos, next_row, next_col
+FROM (SELECT semantic, project, filename, to_ns, row, col, pos,
+    arg_min(name_row, pos) FILTER (WHERE semantic = 'var_usage') OVER same AS next_row,
+    arg_min(name_col, pos) FILTER (WHERE semantic = 'var_usage') OVER same AS next_col
+  FROM v WHERE semantic IN ('namespace_usage', 'var_usage') WINDOW same AS (PARTITION BY filename, to_ns))
+WHERE semantic = 'namespace_usage' AND next_row IS NOT NULL""")
 
 # -- regions and rename ------------------------------------------------------------------
 

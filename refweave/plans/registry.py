@@ -825,8 +825,8 @@ GAP = "6 hours"
 def _view_state(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Newest edit and last analysis of each view, as of the last event."""
     events = ev.applicable(editor_events(spark, sf))
-    now = editor_events(spark, sf).agg(F.max("ts").cast("timestamp_ntz")).first()[0]
-    due = ev.debounced(events, GAP).where(F.col("analyse_at").cast("timestamp_ntz") <= F.lit(now))
+    now = editor_events(spark, sf).agg(F.max("ts")).scalar()
+    due = ev.debounced(events, GAP).where(F.col("analyse_at") <= now)
     return ev.view_versions(events), ev.view_analyses(events, due)
 
 

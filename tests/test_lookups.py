@@ -105,7 +105,8 @@ def test_dedupe_keeps_last_record_at_first_position(make):
 
 
 def as_asked(df):
-    return df.withColumn("cursor_id", F.col("pos"))
+    """Records as carets on them."""
+    return df.withColumns({"cursor_id": F.col("pos"), "begin_row": F.col("row"), "begin_col": F.col("col")})
 
 
 @pytest.fixture
