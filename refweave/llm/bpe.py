@@ -19,12 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from refweave.llm.common import bounded_batches, text_of
+from refweave.llm.common import Remembered, bounded_batches, text_of, tidy
 
 LONG_PIECE = 256
 _WIDTHS = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONG_PIECE])
 _CELLS = 1 << 20  # of one matrix
-_CACHED = 1 << 18  # pieces a worker remembers
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
 _PAD = np.int64(-1)
@@ -188,21 +187,13 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-@functools.lru_cache(maxsize=4)
-def _remembered(path: str) -> dict[str, bytes]:
-    return {}
-
-
-def encode_texts(texts: Iterable[str | None], path: str, pattern: str) -> list[bytes]:
-    """Ids of each text, as little-endian unsigned 32-bit integers."""
-    vocab, find, cache = vocabulary(path), _pattern(pattern).findall, _remembered(path)
+def encode_texts(texts: Iterable[str | None], path: str, pattern: str, known: Remembered | None = None) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned 32-bit integers; ``known`` are pieces from before."""
+    vocab, find, known = vocabulary(path), _pattern(pattern).findall, Remembered() if known is None else known
     split = [find(t) if t else [] for t in texts]
-    new = list(set().union(*split).difference(cache)) if split else []
-    if len(cache) + len(new) > _CACHED:
-        cache.clear()
-        new = list(set().union(*split))
-    cache.update(zip(new, vocab.encode_pieces([p.encode() for p in new]), strict=True))
-    return [b"".join([cache[p] for p in pieces]) for pieces in split]
+    new = known.missing(set().union(*split))
+    known.learn(new, vocab.encode_pieces([p.encode() for p in new]))
+    return [b"".join([known[p] for p in pieces]) for pieces in split]
 
 
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
@@ -215,9 +206,11 @@ def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataF
     bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered()
         for batch in batches:
-            ids = encode_texts(batch.column(1).to_pylist(), path, pattern)
+            ids = encode_texts(batch.column(1).to_pylist(), path, pattern, known)
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), counts, pa.array(ids, pa.binary())], names=[key, "n_tokens", "ids"]
@@ -232,6 +225,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != "decoded"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path).tokens
         for batch in batches:

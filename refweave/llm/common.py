@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from refweave.functions.text import running_starts
@@ -34,6 +37,42 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Give the memory of a task back when it ends: Python workers are used again, for other work."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
+class Remembered(dict):
+    """Results for strings met before in a task, of at most ``limit`` bytes, by a rough count, besides those of one batch."""
+
+    def __init__(self, limit: int = 24 << 20):
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` to be found out; when full, all."""
+        if self.size > self.limit:
+            self.clear()
+            self.size = 0
+        return list(wanted.difference(self))
+
+    def learn(self, keys: Sequence[str], values: Sequence) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.size += sum(map(len, keys)) * 3 + 200 * len(keys)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")

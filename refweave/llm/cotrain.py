@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from refweave.llm.common import bounded_batches, text_of
+from refweave.llm.common import bounded_batches, text_of, tidy
 
 LABELLED, POOL = 6000, 6000
 ROUNDS, EXCHANGED = 4, 0.05  # of the pool, per round and view
@@ -156,6 +156,7 @@ def cotrain(
 def _features(docs: DataFrame, columns: list[str], label: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both views of a bounded sample, on the driver: ``LABELLED`` or ``POOL`` rows of some 4 KB."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
@@ -216,6 +217,7 @@ def classify(
     for c, t in zip(names, ["double", "double", "double", "boolean"], strict=True):
         schema = schema.add(c, t)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(t or "", *rest) for t, *rest in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]

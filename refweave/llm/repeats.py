@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from refweave.llm.common import bounded_batches, text_of, written
+from refweave.llm.common import bounded_batches, text_of, tidy, written
 from refweave.llm.suffixes import suffix_arrays
 from refweave.operators.joins import join_unique
 
@@ -90,6 +90,7 @@ _SITE = pa.schema([
 ])
 
 
+@tidy
 def _sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sites of ``(d, t, text)``.  Of equal sites in a batch the first stays; the others are ranges that repeat, without ``lead``."""
     for batch in batches:
@@ -264,6 +265,7 @@ def _repeated(groups: list[list[tuple]]) -> list[tuple]:
     return out
 
 
+@tidy
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of contexts that come by anchor, and then by place."""
     schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])

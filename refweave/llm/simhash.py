@@ -11,13 +11,14 @@ fingerprints there.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from refweave.llm.common import bounded_batches, text_of, written
+from refweave.llm.common import bounded_batches, text_of, tidy, written
 from refweave.llm.graph import components
 from refweave.operators.joins import join_unique
 
@@ -30,6 +31,7 @@ LEAST = 0.8  # Jaccard similarity of near copies, over shingles of
 JACCARD_WIDTH = 5  # words
 _MAP = 1 << 26  # bits
 BANDS, BAND = 24, 5  # a similarity of 0.8 misses all bands with probability 1e-4
+_MEMBERS = 256  # pairs of a hub that are compared in one task
 _MIXED = 1 << 13  # shingles whose hashes are mixed at a time
 _FACTORS, _TERMS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND, 1), np.uint64) | np.uint64(1)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -97,6 +99,7 @@ def fingerprints(df: DataFrame, key: str, text: str, width: int = 4, seed: int =
     bounded_batches(df.sparkSession)
     name, kind = ("fps", pa.list_(pa.int64())) if several else ("fp", pa.int64())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
@@ -317,6 +320,7 @@ def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> Da
 
     bounded_batches(df.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -348,6 +352,7 @@ def _texts_of(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame
     bits[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
@@ -362,24 +367,34 @@ def _texts_of(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float = LEAST) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` of keys whose texts have a Jaccard similarity of ``least`` or more.
 
-    Exact over the sets of five-word shingles.  ``b`` may be a hub: its set is kept from row to row.
+    Exact over the sets of five-word shingles.  ``b`` may be a hub: its text comes once to every ``_MEMBERS`` of its
+    pairs, about, ahead of theirs, and its set is kept from row to row.
     """
-    pairs = written(pairs, "pairs")
+    parts = F.ceil(F.col("c") / _MEMBERS)
+    sizes = pairs.groupBy("b").agg(F.count("*").alias("c"))
+    part = F.pmod(F.xxhash64("a"), parts).cast("int").alias("part")
+    pairs = written(join_unique(pairs, sizes, ["b"]).select("a", "b", part), "pairs")
     texts = _texts_of(pairs, df, key, text)
-    first = join_unique(pairs, texts.withColumnsRenamed({"_key": "a", "_text": "text_a"}), ["a"])
-    both = join_unique(first, texts.withColumnsRenamed({"_key": "b", "_text": "text_b"}), ["b"])
+    hubs = pairs.select("b", "part").distinct()
+    hubs = join_unique(hubs, texts.withColumnRenamed("_key", "b"), ["b"]).select("b", "part", F.lit(None).cast("bigint").alias("a"), "_text")
+    members = join_unique(pairs, texts.withColumnRenamed("_key", "a"), ["a"]).select("b", "part", "a", "_text")
+    both = hubs.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, None
+        held = None
         for batch in batches:
-            near = []
-            for n, b in enumerate(batch.column(1).to_pylist()):
-                if b != hub:
-                    hub, held = b, shingle_set(batch.column(3)[n].as_py())
-                near.append(jaccard(shingle_set(batch.column(2)[n].as_py()), held) >= least)
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            b, a, texts = batch.column(0), batch.column(2), batch.column(3)
+            near = np.zeros(batch.num_rows, bool)
+            for n in range(batch.num_rows):
+                found = shingle_set(texts[n].as_py())
+                if a[n].is_valid:
+                    near[n] = jaccard(found, held) >= least
+                else:
+                    held = found
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_copies(
@@ -392,9 +407,10 @@ def near_copies(
     finds a similarity of 0.8 or more wherever the edits lie.  Each link between different texts is an
     edge only if the Jaccard similarity of their five-word shingles is ``LEAST`` or more.
 
-    Members of a band are linked with its smallest node first, and then, if not yet connected, with
-    one drawn by a hash for each band.  So not all pairs of a band meet: in a group of which many are less
-    similar than ``LEAST``, a pair is missed if each band that it shares has another member in front.
+    Members of a band are compared with its smallest node first, and then, as long as they are not connected,
+    with nodes that are drawn anew for each band and round, until a round links nothing more.  Each round
+    takes one comparison a member and band, so a dense group stays linear.  A pair of similar texts can be missed only if in every
+    band that they share neither was drawn while the other was apart; texts of a dense group usually share most bands.
     Texts without words are one text.
     """
     if several >= 1 << _KIND_BITS:
@@ -415,13 +431,18 @@ def near_copies(
     pairs = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size)).unionByName(stars(F.col("node")))
     edges = written(verified(pairs.where("a != b").distinct(), df, key, text), "near")
     roots = written(components(edges), "roots")
-    # What is connected need not be compared again; the rest of a band may have met an unlike member only.
-    again = stars(F.xxhash64("n", "node")).where("a != b").distinct()
-    for side in ("a", "b"):
-        of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-        again = join_unique(again, of_side, [side], "left")
-    again = again.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    roots = components(edges.unionByName(verified(again, df, key, text)))
+    for draw in itertools.count(1):
+        # What is connected need not be compared again; the rest of a band may have met an unlike member only.
+        again = stars(F.xxhash64("n", "node", F.lit(draw))).where("a != b").distinct()
+        for side in ("a", "b"):
+            of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+            again = join_unique(again, of_side, [side], "left")
+        again = again.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        more = written(verified(again, df, key, text), "near")
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        roots = written(components(edges), "roots")
     named = join_unique(nodes, roots, ["node"], "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return join_unique(rows.select(key, "same"), named, ["same"]).select(key, "component_id")
 

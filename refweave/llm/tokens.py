@@ -15,9 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from refweave.llm.common import bounded_batches, text_of
+from refweave.llm.common import Remembered, bounded_batches, text_of, tidy
 
-_CACHED = 1 << 19  # segments a worker remembers
 _BATCH = 1 << 18  # bytes handed to the library at once
 
 
@@ -29,46 +28,42 @@ def _tokenizer(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    probe = ["a b", " a", "a ", "a\nb", "a  b"]
+    apart = [sum(len(tokenizer.encode(p, add_special_tokens=False)) for p in segments(t)) for t in probe]
+    if apart != [len(tokenizer.encode(t, add_special_tokens=False)) for t in probe]:
+        raise ValueError(f"{path}: the tokenizer keeps white space, so texts cannot be cut at it")
     return tokenizer
 
 
-@functools.lru_cache(maxsize=2)
-def _remembered(path: str) -> dict[str, int]:
-    return {"": 0}
-
-
 def segments(text: str) -> list[str]:
     """The text cut at blanks and line ends, which the tokenizer drops."""
     return text.replace("\n", " ").split(" ")
 
 
 def balanced(parts: list[str], size: int = _BATCH) -> Iterator[list[str]]:
-    """Batches of at most ``size`` characters; one longer part is a batch of its own."""
+    """Batches of at most ``size`` bytes in UTF-8; one longer part is a batch of its own."""
     batch, n = [], 0
     for part in parts:
-        if batch and n + len(part) > size:
+        more = len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
+        if batch and n + more > size:
             yield batch
             batch, n = [], 0
         batch.append(part)
-        n += len(part)
+        n += more
     if batch:
         yield batch
 
 
-def count_texts(texts: list[str], path: str) -> list[int]:
-    tokenizer, cache = _tokenizer(path), _remembered(path)
+def count_texts(texts: list[str], path: str, known: Remembered | None = None) -> list[int]:
+    """Tokens of each text; ``known`` are segments from before."""
+    tokenizer, known = _tokenizer(path), Remembered() if known is None else known
     cut = [segments(t) for t in texts]
-    new = set().union(*cut).difference(cache) if cut else set()
-    if len(cache) + len(new) > _CACHED:
-        cache.clear()
-        cache[""] = 0
-        new = set().union(*cut).difference(cache)
+    new = known.missing(set().union(*cut))
     # Sorted by length: each batch has texts of about the same size.
     for batch in balanced(sorted(new, key=len)):
         found = tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-        cache.update(zip(batch, map(len, found), strict=True))
-    known = cache.__getitem__
-    return [sum(map(known, parts)) for parts in cut]
+        known.learn(batch, list(map(len, found)))
+    return [sum(map(known.__getitem__, parts)) for parts in cut]
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str, limit: int = 2048) -> DataFrame:
@@ -80,9 +75,11 @@ def token_counts(df: DataFrame, key: str, text: str, path: str, limit: int = 204
     """
     bounded_batches(df.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered()
         for batch in batches:
-            counts = count_texts(batch.column(2).to_pylist(), path)
+            counts = count_texts(batch.column(2).to_pylist(), path, known)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=[key, "n_bytes", "n_tokens"]
             )
