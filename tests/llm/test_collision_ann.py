@@ -62,3 +62,30 @@ def test_a_very_common_vector(spark):
     rows += [(1000 + i, rows[0][1], 1) for i in range(400)]
     got = {(q, r): i for q, r, i, _ in run(spark, rows)}
     assert [got[0, r] for r in range(1, 6)] == [1000, 1001, 1002, 1003, 1004]
+
+
+def test_few_vectors_are_verified():
+    """Recall on isotropic vectors, whose neighbours are hardly nearer than others, and on clusters."""
+    rng = np.random.default_rng(5)
+    lines = rng.standard_normal((ann.PROJECTIONS, 64))
+    centres = rng.standard_normal((20, 64))[rng.integers(0, 20, 8000)]
+    for vectors in (rng.standard_normal((8000, 64)), centres + rng.standard_normal((8000, 64)) * 0.3):
+        ids = np.arange(8000)
+        block = ann.Block(ids, vectors, lines)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        hits, verified = 0, 0
+        for q in range(0, 8000, 100):
+            found, scores, n = block.search(q, vectors[q], 5)
+            cosines = unit @ unit[q]
+            cosines[q] = -2
+            hits += len(set(found) & set(np.argsort(-cosines)[:5]))
+            verified += n
+        assert hits >= 0.9 * 400
+        assert verified < 0.08 * 80 * 8000
+
+
+def test_other_key_types(spark):
+    rows = [(f"k{i}", [float(i), 1.0, 2.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "name string, v array<double>")
+    found = ann.nearest(df, df.where("name = 'k8'"), "name", "v", k=2).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in found] == [("k8", 1, "k7"), ("k8", 2, "k6")]
