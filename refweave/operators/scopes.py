@@ -85,9 +85,30 @@ def list_answers(
     return dedupe_answers(out, ["answer_scope", "project", "asking_file", TARGET])
 
 
+SHOWN = "shown"  # whether a record is of what its file shows
+
+
+def overlay(records: DataFrame, open_views: DataFrame) -> DataFrame:
+    """Add ``shown``: an open view stands before the saved file, and a file that is not open shows what is saved.
+
+    ``records`` may hold a file in scope ``view`` and in a scope of saved files; ``open_views(project, filename)``
+    names what is open, so that a view without records hides the saved file too.
+    The flag is decided once per record; lookups then need no join to tell the two apart.
+    """
+    named = open_views.select(*FILE).distinct().withColumn("_open", F.lit(True))
+    found = join_unique(records, named, list(FILE), "left")
+    shown = F.when(F.col("scope") == "view", F.col("_open").isNotNull()).otherwise(F.col("_open").isNull())
+    return found.withColumn(SHOWN, shown).drop("_open")
+
+
+def shown(records: DataFrame) -> DataFrame:
+    """Records of what files show.  Without an :func:`overlay`, every file is open as it was saved."""
+    return records.where(SHOWN) if SHOWN in records.columns else records
+
+
 def in_scope(records: DataFrame, scope: str) -> DataFrame:
-    """Records a scope answers from.  Every file is open in a view of its own."""
-    seen = records if scope == "view" else records.where(F.col("scope") == scope)
+    """Records a scope answers from: what files show, or what was saved."""
+    seen = shown(records) if scope == "view" else records.where(F.col("scope") == scope)
     return seen.where(F.col("semantic").isin(*SCOPE_SEMANTICS[scope]))
 
 
@@ -158,9 +179,10 @@ def doc_cards(asking: DataFrame, records: DataFrame) -> DataFrame:
         records.where(sem.isin("namespace_definition", "var_definition"))
     ).withColumn("def_ext", own_extension(F.col("ext")))
     firsts = [F.min_by(F.struct(*_CARD), ix.order()).alias("card"), F.min(ix.order()).alias("ord")]
-    in_view = defs.groupBy(*FILE, "key", "def_ext").agg(*firsts).withColumn("answer_scope", F.lit("view"))
+    in_view = shown(defs).groupBy(*FILE, "key", "def_ext").agg(*firsts).withColumn("answer_scope", F.lit("view"))
+    saved = defs.where(F.col("scope") != "view")
     in_project = (
-        defs.withColumnRenamed("scope", "answer_scope").groupBy("project", "key", "def_ext", "answer_scope").agg(*firsts)
+        saved.withColumnRenamed("scope", "answer_scope").groupBy("project", "key", "def_ext", "answer_scope").agg(*firsts)
     )
     rank = F.lit(None).cast("int")
     for n, scope in enumerate(_CARD_SCOPES):

@@ -60,7 +60,7 @@ flagged AS (
   FROM tagged
 ),
 rec AS (
-  SELECT project, CASE WHEN doc_id % 10 < 7 THEN 'paths' ELSE 'classpath' END AS scope, semantic, ext,
+  SELECT project, CASE WHEN doc_id % 10 < 7 THEN 'paths' ELSE 'classpath' END AS scope, true AS shown, semantic, ext,
     doc_id AS file_ord, CAST(row AS BIGINT) * 2147483648 + i AS pos, filename,
     CASE WHEN vu AND (doc_id + i) % 97 = 0 THEN NULL ELSE row END AS row, col, row AS end_row,
     CAST(CASE WHEN by_name THEN col + length(tok) ELSE col + size END AS INTEGER) AS end_col,
@@ -474,13 +474,15 @@ WHERE a.to_ns IS NULL""", prefix=_HITS)
 # -- scopes ----------------------------------------------------------------------------
 
 _SCOPE_VIEW = {
-    "view": "true",
+    "view": "e.shown",
     "paths": "e.scope = 'paths' AND e.semantic NOT IN ('local', 'local_usage', 'finding')",
     "classpath": "e.scope = 'classpath' AND e.semantic IN ('namespace_definition', 'var_definition', 'keyword')",
 }
 
 
-def _scopes(name: str, answers_name: str | None, target: str, probes: str, entries: str, order: list[str]) -> None:
+def _scopes(
+    name: str, answers_name: str | None, target: str, probes: str, entries: str, order: list[str], prefix: str = _HITS
+) -> None:
     counts = ", ".join(f"coalesce(sum(n_{s}), 0) AS n_{s}" for s in order)
     joins, columns = "", ""
     for s in order:
@@ -507,7 +509,7 @@ ranked AS (
 )"""
     ns = ", ".join(f"CAST(n_{s} AS BIGINT) AS n_{s}" for s in order)
     _add(name, f"SELECT project, filename, target_kind, t1, t2, n_asked, {ns}, answer_scope FROM ranked",
-         prefix=_HITS, ctes=ctes)
+         prefix=prefix, ctes=ctes)
     parts = []
     for s in order:
         file_, same = ("w.filename", " AND w.filename = e.filename") if s == "view" else ("CAST(NULL AS VARCHAR)", "")
@@ -525,7 +527,7 @@ answers AS (SELECT * FROM ({' UNION ALL '.join(parts)})
     if answers_name:
         _add(answers_name, """
 SELECT answer_scope, project, asking_file, target_kind, t1, t2, CAST(n_asked AS BIGINT) AS n_asked, filename, row, col,
-  semantic FROM answers""", prefix=_HITS, ctes=ctes)
+  semantic FROM answers""", prefix=prefix, ctes=ctes)
     if answers_name == "usage_answers":
         _add("usage_report", """
 SELECT project, shown_name, 0 AS part, CAST(NULL AS VARCHAR) AS filename, CAST(NULL AS INTEGER) AS row,
@@ -541,7 +543,7 @@ LEFT JOIN (SELECT a.*, coalesce(r.name_row, r.row) AS line, coalesce(r.name_col,
   ON w.project = k.project AND w.answer_scope = k.answer_scope
   AND (w.asking_file IS NULL OR w.asking_file = k.filename)
   AND k.target_kind IS NOT DISTINCT FROM w.target_kind AND k.t1 IS NOT DISTINCT FROM w.t1 AND k.t2 IS NOT DISTINCT FROM w.t2""",
-             prefix=_HITS, ctes=ctes + f""",
+             prefix=prefix, ctes=ctes + f""",
 lastask AS (
   SELECT project, filename, shown_name, target_kind, t1, t2 FROM (
     SELECT *, {_QNAME} AS shown_name, {target} FROM asked)
@@ -554,7 +556,63 @@ _scopes("definitions_by_scope", "definition_answers", _DTARGET, _DPROBES, "dent"
 _scopes("usages_by_scope", "usage_answers", _UTARGET, _UPROBES, "uent", ["paths", "view"])
 _scopes("usages_in_view", None, _UTARGET, _UPROBES, "uent", ["view"])
 
-_add("doc_cards", f"""
+
+def _opened(sql: str) -> str:
+    """The same over saved files and open views: each line of a document is read for both."""
+    sql = sql.strip()
+    for old, new in [
+        ("SELECT doc_id, lang, CAST(u.row AS INTEGER) AS row, u.line\n  FROM documents,",
+         "SELECT doc_id, lang, is_open, CAST(u.row AS INTEGER) AS row, u.line\n  FROM texts,"),
+        ("SELECT doc_id, lang, row, line,", "SELECT doc_id, lang, is_open, row, line,"),
+        ("PARTITION BY doc_id, row", "PARTITION BY doc_id, is_open, row"),
+        ("  FROM toks\n)", "  FROM toks WHERE is_open OR doc_id % 10 <> 0\n)"),
+        ("CASE WHEN doc_id % 10 < 7 THEN 'paths' ELSE 'classpath' END AS scope, true AS shown",
+         "CASE WHEN is_open THEN 'view' WHEN doc_id % 10 < 7 THEN 'paths' ELSE 'classpath' END AS scope,\n"
+         "    is_open OR doc_id % 10 <> 0 AS shown"),
+        ("\nrec AS (", "\nallrec AS ("),
+        ("v AS (SELECT * FROM rec WHERE",
+         "rec AS (SELECT * FROM allrec WHERE NOT (scope = 'paths' AND CAST(substr(project, 2) AS BIGINT) % 5 = 4)\n"
+         "  UNION ALL SELECT * REPLACE ('java_class_definition' AS semantic) FROM allrec\n"
+         "  WHERE scope = 'classpath' AND semantic = 'java_class_usage' AND col < 12),\nv AS (SELECT * FROM rec WHERE"),
+        ("FROM v WHERE semantic <> 'finding'\n)", "FROM v WHERE shown AND semantic NOT IN ('finding', 'java_class_definition')\n)"),
+        ("AND r.pos = b.h.pos\n)", "AND r.pos = b.h.pos AND r.shown\n)"),
+    ]:
+        assert old in sql or "hits" not in sql, old
+        sql = sql.replace(old, new)
+    return """texts AS (
+  SELECT doc_id, lang, text, false AS is_open FROM documents
+  UNION ALL SELECT doc_id, lang, 'Draft notes of changes.' || chr(10) || text, true FROM documents WHERE doc_id % 10 = 0
+),
+""" + sql
+
+
+_OPEN_RECORDS, _OPEN_HITS = _opened(_RECORDS), _opened(_HITS)
+_scopes("open_definitions_by_scope", "open_definition_answers", _DTARGET, _DPROBES, "dent", ["view", "paths", "classpath"],
+        prefix=_OPEN_HITS)
+_scopes("open_usages_by_scope", "open_usage_answers", _UTARGET, _UPROBES, "uent", ["paths", "view"], prefix=_OPEN_HITS)
+
+_add("open_records", """
+SELECT project, filename, scope, shown, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM rec GROUP BY ALL""",
+     prefix=_OPEN_RECORDS)
+
+_add("open_at_position", """
+SELECT cursor_id, hit_type, semantic, pos, sc AS hit_start_col, ec AS hit_end_col FROM asked""", prefix=_OPEN_HITS)
+
+_add("open_view_report", """
+SELECT project, filename, run_seq, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos
+FROM (SELECT *, unnest(CASE WHEN pos < 6442450944 THEN [1, 2] ELSE [1] END)::bigint AS run_seq FROM rec WHERE scope = 'view')
+WHERE run_seq = CASE WHEN file_ord % 30 = 0 THEN 2 ELSE 1 END GROUP BY ALL""", prefix=_OPEN_RECORDS)
+
+_add("java_definitions", """
+SELECT project, class_name, count(*) FILTER (WHERE asks) AS n_asked,
+  arg_max(filename, CAST(file_ord AS HUGEINT) * 9223372036854775808 + pos) FILTER (WHERE defines) AS def_filename,
+  arg_max(pos, CAST(file_ord AS HUGEINT) * 9223372036854775808 + pos) FILTER (WHERE defines) AS def_pos
+FROM (SELECT *, shown AS asks, semantic = 'java_class_definition' AND scope = 'classpath' AS defines FROM v
+  WHERE semantic IN ('java_class_usage', 'java_class_definition'))
+GROUP BY ALL HAVING n_asked > 0""", prefix=_OPEN_RECORDS)
+
+for _name, _prefix in (("doc_cards", _HITS), ("open_doc_cards", _OPEN_HITS)):
+    _add(_name, f"""
 SELECT project, filename, ext, any_ext, n_asked, scope_name AS answer_scope,
   CASE WHEN coalesce(d_ns, '') <> '' THEN d_ns || '/' || d_name ELSE d_name END AS qualified_name,
   d_filename AS def_filename, line, col_ AS "column", arglists, trim(doc, ' ') AS doc
@@ -572,8 +630,8 @@ FROM (
   JOIN (SELECT * FROM dent WHERE semantic IN ('var_definition', 'namespace_definition')) d
     ON q.project = d.project AND q.key = d.key AND (q.any_ext OR {_FITS})
   JOIN (VALUES ('view', 1), ('classpath', 2), ('paths', 3)) s(scope_name, rank)
-    ON CASE s.scope_name WHEN 'view' THEN q.filename = d.filename ELSE d.scope = s.scope_name END
-) WHERE rn = 1""", prefix=_HITS, ctes=_ENTRIES)
+    ON CASE s.scope_name WHEN 'view' THEN q.filename = d.filename AND d.shown ELSE d.scope = s.scope_name END
+) WHERE rn = 1""", prefix=_prefix, ctes=_ENTRIES)
 
 # -- lists -----------------------------------------------------------------------------
 
@@ -614,18 +672,19 @@ _add("catalog", " UNION ALL ".join(
         ("namespace-paths", "paths", "'namespace_definition'"),
     ]))
 
-for _name, _kinds, _semantic in [
-    ("catalog_view_paths", _ALL_KINDS, ", semantic"), ("keyword_view_paths", "'keyword'", ""),
+for _name, _kinds, _semantic, _views, _prefix in [
+    ("catalog_view_paths", _ALL_KINDS, ", semantic", "shown", _RECORDS), ("keyword_view_paths", "'keyword'", "", "shown", _RECORDS),
+    ("open_catalog", _ALL_KINDS, ", semantic", "scope = 'view'", _OPEN_RECORDS),
 ]:
     _add(_name, f"""
 SELECT project, from_scope, {_QNAME} AS qualified_name, filename, row, col{_semantic}
 FROM (SELECT * FROM (
   SELECT *, 'paths' AS from_scope FROM v WHERE scope = 'paths' AND semantic NOT IN ('local', 'local_usage', 'finding')
   UNION ALL
-  SELECT *, 'view' FROM v WHERE project NOT IN (SELECT project FROM rec WHERE scope = 'paths')
+  SELECT *, 'view' FROM v WHERE {_views} AND project NOT IN (SELECT project FROM rec WHERE scope = 'paths')
   ) WHERE {_LISTED} AND semantic IN ({_kinds})
   QUALIFY row_number() OVER (PARTITION BY project, filename, row, col
-    ORDER BY {_KIND_ORD} DESC, file_ord DESC, pos DESC) = 1)""")
+    ORDER BY {_KIND_ORD} DESC, file_ord DESC, pos DESC) = 1)""", prefix=_prefix)
 
 _add("ns_usages_in_view", """
 SELECT project, filename, to_ns, row, col, name, n_asked

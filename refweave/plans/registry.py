@@ -582,6 +582,113 @@ def usage_report_(spark, sf):
     )
 
 
+# -- open views before saved files ---------------------------------------------------------
+
+
+def workspace(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of saved files and of open views, which may be of the same file."""
+    def build():
+        d = documents(spark, sf)
+        return sp.overlay(docs.workspace(d), docs.open_views(d))
+
+    return derived_table(
+        spark, "workspace", sf, build, partition_by=["scope", "semantic"], order_by=["project", "filename", "pos"]
+    )
+
+
+def open_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The record under every caret of what files show."""
+    return derived_table(
+        spark, "open_asked", sf,
+        lambda: ps.at_position(sp.shown(workspace(spark, sf)), docs.cursors(docs.shown_documents(documents(spark, sf)))),
+    )
+
+
+def open_definition_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return derived_table(
+        spark, "open_definition_ranks", sf, lambda: sp.rank_definitions(open_asked(spark, sf), workspace(spark, sf))
+    )
+
+
+def open_usage_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return derived_table(
+        spark, "open_usage_ranks", sf, lambda: sp.rank_usages(open_asked(spark, sf), workspace(spark, sf))
+    )
+
+
+@query
+def open_records(spark, sf):
+    """What each file shows, and what it hides."""
+    return workspace(spark, sf).groupBy("project", "filename", "scope", "shown").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("sum_pos")
+    )
+
+
+@query
+def open_at_position(spark, sf):
+    return open_asked(spark, sf).select(
+        "cursor_id", "hit_type", "semantic", "pos", "hit_start_col", "hit_end_col"
+    )
+
+
+@query
+def open_definitions_by_scope(spark, sf):
+    return _ranked(open_definition_ranks(spark, sf), "n_view", "n_paths", "n_classpath")
+
+
+@query
+def open_definition_answers(spark, sf):
+    return _answers(sp.list_definitions(open_definition_ranks(spark, sf), workspace(spark, sf)))
+
+
+@query
+def open_usages_by_scope(spark, sf):
+    return _ranked(open_usage_ranks(spark, sf), "n_paths", "n_view")
+
+
+@query
+def open_usage_answers(spark, sf):
+    return _answers(sp.list_usages(open_usage_ranks(spark, sf), workspace(spark, sf)))
+
+
+@query
+def open_doc_cards(spark, sf):
+    cards = sp.doc_cards(open_asked(spark, sf), workspace(spark, sf))
+    return cards.select(
+        "project", "filename", "ext", "any_ext", "n_asked", "answer_scope", "qualified_name", "def_filename", "line",
+        "column", "arglists", "doc",
+    )
+
+
+@query
+def open_catalog(spark, sf):
+    """Definitions of the sources, or where those were never analysed of the open views."""
+    r = workspace(spark, sf)
+    listed = cat.catalog_view_paths(r.where(F.col("scope") == "view"), sp.in_scope(r, "paths"))
+    return listed.select("project", "from_scope", "qualified_name", "filename", "row", "col", "semantic")
+
+
+@query
+def open_view_report(spark, sf):
+    """Views analysed again replace all that they showed before."""
+    first = workspace(spark, sf).where(F.col("scope") == "view").withColumn("run_seq", F.lit(1).cast("bigint"))
+    again = first.where((F.col("file_ord") % 30 == 0) & (F.col("pos") < F.lit(3 << 31)))
+    log = first.unionByName(again.withColumn("run_seq", F.lit(2).cast("bigint")))
+    newest = st.latest_report(log, ["project", "scope", "filename"])
+    return newest.groupBy("project", "filename", "run_seq").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+@query
+def java_definitions(spark, sf):
+    """The definition of each class that is used: the last one under its name, or none."""
+    r = workspace(spark, sf)
+    found = lk.java_definitions(ix.valid_records(sp.shown(r)), sp.in_scope(r, "classpath"))
+    return found.select(
+        "project", "class_name", "n_asked", F.col("definition.filename").alias("def_filename"),
+        F.col("definition.pos").alias("def_pos"),
+    )
+
+
 # -- lists ---------------------------------------------------------------------------------
 
 

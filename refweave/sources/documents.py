@@ -107,6 +107,43 @@ def _semantics() -> Column:
     return F.split(F.concat_ws(" ", *(F.when(rule, F.lit(sem)) for sem, rule in rules.items())), " ")
 
 
+#: Every so manieth document is open in a view, and there begins with a line more.
+OPEN_EVERY, DRAFT = 10, "Draft notes of changes."
+#: Of so many projects in turn, one was never analysed as a whole.
+PROJECTS, UNREAD = 5, 4
+
+
+def open_documents(documents: DataFrame) -> DataFrame:
+    """What open views hold of their documents, not saved yet."""
+    return documents.where(F.col("doc_id") % OPEN_EVERY == 0).withColumn(
+        "text", F.concat(F.lit(DRAFT + "\n"), F.col("text"))
+    )
+
+
+def shown_documents(documents: DataFrame) -> DataFrame:
+    """What an editor shows of each document: its open view, if it has one."""
+    return documents.where(F.col("doc_id") % OPEN_EVERY != 0).unionByName(open_documents(documents))
+
+
+def workspace(documents: DataFrame) -> DataFrame:
+    """Records of saved files and of open views, without the sources of projects that were never analysed.
+
+    Libraries define a class where one of their lines begins with a usage of it.
+    """
+    saved = records(documents)
+    number = F.substring("project", 2, 20).cast("bigint")
+    unread = (F.col("scope") == "paths") & (number % PROJECTS == UNREAD)
+    read = saved.where(~unread)
+    defined = read.where((F.col("scope") == "classpath") & (F.col("semantic") == "java_class_usage") & (F.col("col") < 12))
+    views = records(open_documents(documents)).withColumn("scope", F.lit("view"))
+    return read.unionByName(views).unionByName(defined.withColumn("semantic", F.lit("java_class_definition")))
+
+
+def open_views(documents: DataFrame) -> DataFrame:
+    """``(project, filename)`` of the files that are open."""
+    return source_files(open_documents(documents)).select("project", "filename")
+
+
 def records(documents: DataFrame) -> DataFrame:
     """All records of all documents, also those without a valid position."""
     sem = F.col("semantic")

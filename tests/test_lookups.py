@@ -214,3 +214,33 @@ def test_fresh_files_only(spark):
     analyses = spark.createDataFrame([("v1", 3), ("v2", 2)], "view_id string, analysed_count int")
     assert rows(st.fresh(asked, versions, analyses, ["view_id"]), "view_id") == [("v1",)]
     assert rows(st.stale_files(versions, analyses), "view_id") == [("v2",)]
+
+
+def test_an_open_view_stands_before_its_saved_file(make):
+    saved = make(var_def("old", row=1), var_def("both", row=2), var_use("both", row=3))
+    other = make(var_def("new", filename="/p/b.clj"), var_use("both", filename="/p/b.clj", row=4), var_use("old", filename="/p/b.clj", row=5))
+    view = make(var_def("new", row=1), var_def("both", row=9), var_use("both", row=8), var_use("old", row=7), scope="view")
+    emptied = make(var_def("gone", filename="/p/c.clj"))
+    is_open = view.select("project", "filename").unionByName(emptied.select("project", "filename"))
+    r = sp.overlay(saved.unionByName(other).unionByName(view).unionByName(emptied), is_open)
+    assert rows(r.where("not shown"), "filename", "row") == [("/p/a.clj", 1), ("/p/a.clj", 2), ("/p/a.clj", 3), ("/p/c.clj", 1)]
+    assert rows(sp.in_scope(r, "view").where("filename = '/p/a.clj'"), "scope").count(("view",)) == 4
+
+    asking = sp.shown(r)
+    ranked = sp.rank_definitions(asking, r)
+    got = {(f, t.split("\x1f")[2]): (s, v, p) for f, t, s, v, p in rows(ranked, "filename", "target", "answer_scope", "n_view", "n_paths")}
+    assert got["/p/a.clj", "both"] == ("view", 1, 1)  # once in each scope, not twice in one
+    assert got["/p/a.clj", "old"] == ("paths", 0, 1)  # no longer in the view, still in what was saved
+    assert got["/p/b.clj", "both"] == ("paths", 0, 1)
+    listed = sp.list_definitions(ranked, r)
+    assert [x.row for x in listed.where("asking_file = '/p/a.clj'").collect()] == [9]
+
+    used = sp.rank_usages(asking, r)
+    counts = {(f, t.split("\x1f")[2]): (s, p, v) for f, t, s, p, v in rows(used, "filename", "target", "answer_scope", "n_paths", "n_view")}
+    assert counts["/p/a.clj", "both"] == ("paths", 2, 1)
+    assert counts["/p/a.clj", "old"] == ("paths", 1, 1)
+    cards = {(c.filename, c.qualified_name): c for c in sp.doc_cards(asking, r).collect()}
+    assert cards["/p/a.clj", "n/both"].line == 9 and cards["/p/b.clj", "n/both"].line == 2
+    assert cards["/p/b.clj", "n/new"].answer_scope == "view"
+    without_sources = cat.catalog_view_paths(sp.in_scope(r, "view").where("scope = 'view'"), r.where("false"))
+    assert {x.from_scope for x in without_sources.collect()} == {"view"}
