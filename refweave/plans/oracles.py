@@ -919,7 +919,8 @@ LEFT JOIN (
     UNION ALL SELECT view_id, change_count FROM ({_BURSTS}) WHERE analyse_at <= (SELECT max(ts) FROM ev))
   GROUP BY ALL) n ON v.view_id = n.view_id"""
 
-_add("stale_files", f"""
+for _name in ("stale_files", "live_stale_files"):
+    _add(_name, f"""
 SELECT v.view_id, v.change_count, n.analysed_count {_VIEW_STATE}
 WHERE v.change_count IS DISTINCT FROM n.analysed_count""", prefix=_EVENTS)
 
@@ -936,7 +937,7 @@ SELECT view_id, count(*) AS n FROM applicable e WHERE kind = 'modified' AND chan
 GROUP BY ALL""", prefix=_EVENTS)
 
 # A burst goes on while the next edit comes within the gap, or exactly at its end.
-for _name in ("debounced_edits", "debounced_edits_stream"):
+for _name in ("debounced_edits", "debounced_edits_stream", "live_bursts"):
     _add(_name, _BURSTS, prefix=_EVENTS)
 
 # -- archives --------------------------------------------------------------------------

@@ -30,6 +30,7 @@ from ..sources import files as fs
 from ..sources import reports as rp
 from ..streaming import events as ev
 from ..streaming import ingest as ig
+from ..streaming import live
 from . import state as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -992,6 +993,45 @@ def debounced_edits_stream(spark, sf):
     return _bursts(out.where(F.col("view_id") != f"v{_LAST_USER}"))
 
 
+def _live_views(spark, sf, last: bool) -> DataFrame:
+    """Events in three files, one micro-batch each, through the stateful operator; ``last`` adds an event that closes all bursts."""
+    events, folder = spark.read.parquet(f"{sf}/events.parquet"), scratch(spark, "live")
+    begin, end = events.agg(F.min("ts"), F.max("ts")).first()
+    third = F.floor(F.lit(3) * (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(begin).cast("timestamp")))
+                    / (F.unix_micros(F.lit(end).cast("timestamp")) - F.unix_micros(F.lit(begin).cast("timestamp")) + 1))
+    for n in range(3):
+        events.where(third == n).coalesce(1).write.mode("append").parquet(folder)
+    if last:
+        (
+            events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts"), F.max("event_id").alias("event_id"))
+            .select("event_id", "ts", F.lit(_LAST_USER).cast("bigint").alias("user_id"), F.lit("click").alias("event_type"),
+                    F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+            .coalesce(1).write.mode("append").parquet(folder)
+        )
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, live.ROCKSDB)
+    try:
+        seen = live.followed(ev.applicable(as_editor_events(stream).withWatermark("ts", "0 seconds")), GAP)
+        return ig.to_table(seen, scratch(spark, "followed"), scratch(spark, "followed-state"))
+    finally:
+        spark.conf.set(store, before)
+
+
+@query
+def live_bursts(spark, sf):
+    """Bursts as they fall due, from a stateful operator with timers."""
+    out = _live_views(spark, sf, True).where(F.col("view_id") != f"v{_LAST_USER}")
+    return _bursts(live.bursts(out))
+
+
+@query
+def live_stale_files(spark, sf):
+    """Views changed since their last analysis, followed live up to the last event."""
+    return live.stale(_live_views(spark, sf, False))
+
+
 # -- archives ------------------------------------------------------------------------------------
 
 
