@@ -3,8 +3,6 @@ import math
 import random
 import re
 
-import numpy as np
-
 from refweave.llm import perplexity as px
 
 SCHEMA = "doc_id bigint, text string, lang string, n_words int"
@@ -22,6 +20,15 @@ def brute_counts(text):
     )
 
 
+def discounts(counts):
+    """Of n-grams seen once, twice and more, from the numbers of n-grams seen 1, 2, 3 and 4 times."""
+    n = [counts.get(i, 0) for i in (1, 2, 3, 4)]
+    if not (n[0] and n[1]):
+        return [0.5, 0.5, 0.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i) if n[i - 1] else 0.5 for i in (1, 2, 3)]
+
+
 def brute_logp(corpus, text, order):
     """Interpolated Kneser-Ney over strings, with padding, straight from the definition."""
     pad = "\0" * (order - 1)
@@ -32,10 +39,10 @@ def brute_logp(corpus, text, order):
         level = collections.Counter(g[1:] for g in level)
     total = 0.0
     for i in range(len(text)):
-        gram, p = (pad + text)[i : i + order], 1 / 65536
+        gram, p = (pad + text)[i : i + order], 2.0**-21
         for n in range(1, order + 1):
             counts = levels[n]
-            d = [0, *px.discounts(collections.Counter(min(c, 5) for c in counts.values()))]
+            d = [0, *discounts(collections.Counter(min(c, 5) for c in counts.values()))]
             own = {g: c for g, c in counts.items() if g[:-1] == gram[order - n : -1]}
             if not own:
                 continue
@@ -65,24 +72,32 @@ def test_base_counts_equal_brute_force():
 
 
 def test_model_is_kneser_ney(spark):
+    """For every text, whichever of its n-grams are looked up in arrays and which by the join."""
+    good, junk = texts()
+    corpus = [*good, junk, "z", "Zz\n", "\U0001f600\U00020000\U0001f600\uf600", "\U0002f600"]
+    df = spark.createDataFrame([(i, t, "en", 0) for i, t in enumerate(corpus)], SCHEMA)
+    for frequent in (1e-9, 0.001, 2.0):
+        got = {r.doc_id: r.log_perplexity for r in px.rules(df, "doc_id", "text", "lang", frequent=frequent).collect()}
+        for i in (0, 7, *range(len(good), len(corpus))):
+            assert abs(got[i] - brute_logp(corpus, corpus[i], 3)) < 2e-9
+
+
+def test_characters_beyond_16_bits_are_told_apart():
+    a, b = (next(px.ngrams(t)) for t in ("\U0001f600ab", "\uf600ab"))
+    assert (a >= 0).all() and not set(a.tolist()) & set(b.tolist())
+
+
+def test_a_small_language_does_not_depend_on_the_others(spark):
     good, junk = texts()
-    df = spark.createDataFrame([("en", t) for t in good], "lang string, text string")
-    model = px.train(df, order=3)["en"]
-    for text in (good[0], junk, "z", "Zz\n"):
-        assert abs(model.log_perplexity(text) - brute_logp(good, text, 3)) < 1e-9
-    # The probabilities of all characters after a context sum to 1.
-    keys = np.arange(65536) | (ord("a") << 16) | (ord("b") << 32)
-    assert abs(np.exp(model._logp(keys, 3)).sum() - 1) < 1e-6
-
-
-def test_pruned_model_still_sums_to_one(spark):
-    good, _ = texts()
-    df = spark.createDataFrame([("en", t) for t in good], "lang string, text string")
-    model = px.train(df, order=3, rare=0.002)["en"]
-    assert len(model.keys[2]) < 500
-    for a, b in ("ab", "zz", "e "):
-        keys = np.arange(65536) | (ord(b) << 16) | (ord(a) << 32)
-        assert abs(np.exp(model._logp(keys, 3)).sum() - 1) < 1e-6
+    own = [(i, t, "en", 0) for i, t in enumerate([*good, junk])]
+    rng = random.Random(3)
+    other = [(1000 + i, "".join(rng.choices("qwxyz ", k=20_000)), "xx", 0) for i in range(20)]
+
+    def run(rows):
+        found = px.rules(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "lang", frequent=1e-3)
+        return {r.doc_id: (r.log_perplexity, r.kept) for r in found.where("doc_id < 1000").collect()}
+
+    assert run(own) == run(own + other)
 
 
 def test_verdicts(spark):
