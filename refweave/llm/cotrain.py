@@ -2,28 +2,28 @@
 
 Two logistic regressions see different sides of a document: the text view its
 hashed character trigrams, the page view its metadata and layout.  Both begin with
-the labelled sample; in each round each one labels the documents of an unlabelled pool
-it is most confident of, for the other to learn from.  Scores of held-out labelled
-rows calibrate the views, whose log-odds are then averaged for all documents.
+the labelled sample.  In each round each one scores all unlabelled documents, and labels those it is most confident of for the
+other to learn from: ``EXCHANGED`` per round and view, dealt to languages and sources by their share of documents.
+Scores of held-out labelled rows calibrate the views, whose log-odds are then averaged for all documents.
 
-Fitted on bounded samples (``LABELLED`` and ``POOL`` rows with the smallest hash of
-their key); applied to every document.
+Fitted on bounded samples: ``LABELLED`` labelled rows with the smallest hash of their key, and what is exchanged.
+Everything else is over all documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from refweave.llm.common import bounded_batches, text_of, tidy
+from refweave.llm.common import bounded_batches, text_of, tidy, written
 
-LABELLED, POOL = 6000, 6000
-ROUNDS, EXCHANGED = 4, 0.05  # of the pool, per round and view
+LABELLED = 6000  # rows
+ROUNDS, EXCHANGED = 3, 300  # documents per round and view
 HELD_OUT = 0.25
 LOST = 0.005  # share of held-out good documents that the threshold may reject
 ADDED = ["text_score", "page_score", "score", "kept"]
@@ -113,35 +113,30 @@ class Classifier:
         return np.column_stack([_sigmoid(a), _sigmoid(b), _sigmoid((a + b) / 2)])
 
 
+#: From the views' models, and which documents each view was told about, to new ones for each view: names, features, labels.
+Exchange = Callable[[list[View], list[set]], list[tuple[list, np.ndarray, np.ndarray]]]
+
+
 def cotrain(
-    text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray,
-    rounds: int = ROUNDS, exchanged: float = EXCHANGED, lost: float = LOST, seed: int = 0,
+    text: np.ndarray, page: np.ndarray, y: np.ndarray, exchange: Exchange | None = None,
+    rounds: int = ROUNDS, lost: float = LOST, seed: int = 0,
 ) -> Classifier | None:
     """None if the held-in or held-out labels are all of one class."""
     held = np.random.default_rng(seed).random(len(y)) < HELD_OUT
     if min(len(set(y[held])), len(set(y[~held]))) < 2:
         return None
-    views, pools = [text, page], [pool_text, pool_page]
-    n = len(pool_text)
-    labels = [np.full(n, np.nan), np.full(n, np.nan)]  # what each view has been told about the pool
-    good = y[~held].mean()
+    views = [text, page]
+    known: list[set] = [set(), set()]
+    told = [(v[:0], y[:0]) for v in views]
     models = [fit(v[~held], y[~held]) for v in views]
-    for _ in range(rounds if n else 0):
-        for own, other in ((0, 1), (1, 0)):
-            z = models[own].raw(pools[own])
-            z[~np.isnan(labels[other])] = np.nan
-            order = np.argsort(z)[: int((~np.isnan(z)).sum())]  # told ones sort last
-            some = min(max(1, int(exchanged * n)), len(order) // 2)
-            n_good = int(round(some * good))
-            low, high = order[: some - n_good], order[len(order) - n_good :]
-            labels[other][low[z[low] < 0]] = 0
-            labels[other][high[z[high] > 0]] = 1
-        for i in (0, 1):
-            told = ~np.isnan(labels[i])
-            x = np.concatenate([views[i][~held], pools[i][told]])
-            target = np.concatenate([y[~held], labels[i][told]])
+    for _ in range(rounds if exchange else 0):
+        for i, (names, x, labels) in enumerate(exchange(models, known)):
+            known[i] |= set(names)
+            told[i] = np.concatenate([told[i][0], x]), np.concatenate([told[i][1], labels])
+        for i, (x, labels) in enumerate(told):
             # A pseudo-label counts half.
-            models[i] = fit(x, target, np.concatenate([np.ones((~held).sum()), np.full(told.sum(), 0.5)]))
+            sample = np.concatenate([np.ones((~held).sum()), np.full(len(labels), 0.5)])
+            models[i] = fit(np.concatenate([views[i][~held], x]), np.concatenate([y[~held], labels]), sample)
     for model, view in zip(models, views, strict=True):
         z, target = model.raw(view[held])[:, None], y[held]
         size = max(1e-6, float(np.abs(z).mean()))
@@ -153,47 +148,105 @@ def cotrain(
     return model
 
 
-def _features(docs: DataFrame, columns: list[str], label: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views of a bounded sample, on the driver: ``LABELLED`` or ``POOL`` rows of some 4 KB."""
+_FIELDS = ["_text", "_lang", "_source", "_n_chars"]
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows with ``_FIELDS``."""
+    rows = list(zip(*(batch.column(c).to_pylist() for c in _FIELDS), strict=True))
+    text = np.array([text_view(r[0]) for r in rows], np.float32).reshape(-1, _TRIGRAMS)
+    return text, np.array([page_view(*r) for r in rows], np.float32).reshape(-1, 2 * _NAMES + 12)
+
+
+def _features(docs: DataFrame, wanted: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """Both views of the documents with the ``_id`` of ``wanted``, on the driver: a bounded number of rows of some 4 KB.
+
+    Equal documents have the same ``_id`` and are one row, however many there are.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            views = [np.concatenate([text_view(r[0]), page_view(*r)]).astype("<f4").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(views, pa.binary())], names=["y", "x"])
+            x = np.concatenate(_views(batch), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "x"]
+            )
+
+    found = docs.join(F.broadcast(wanted.select("_id")), "_id", "left_semi").select("_id", *_FIELDS)
+    found = found.mapInArrow(run, "_id bigint, x binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(-1, _TRIGRAMS + 2 * _NAMES + 12)
+    return found.column("_id").to_pylist(), x[:, :_TRIGRAMS], x[:, _TRIGRAMS:]
+
+
+def _most_confident(scores: DataFrame, z: str, told: list, good: float, number: int) -> DataFrame:
+    """``(_id, y)``: the documents of ``scores`` that a view is surest of, dealt to languages and sources by their share.
 
-    target = (F.col("_y") if label else F.lit(0.0)).alias("_target")
-    source = docs.select(text_of(columns[0]).alias("_text"), *columns[1:], target)
-    found = source.mapInArrow(run, "y double, x binary").toArrow()
-    width = _TRIGRAMS + 2 * _NAMES + 12
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(-1, width)
-    y = found.column("y").to_numpy()
-    order = np.lexsort((*x[:, -12:].T, y))  # partitions may come in any order
-    return x[order, :_TRIGRAMS], x[order, _TRIGRAMS:], y[order]
+    A stratum gives up to its share of the number, at least one; of these the first ones of all strata come first.
+    """
+    spark = scores.sparkSession
+    before = spark.createDataFrame([(n,) for n in told], "_id bigint")  # bounded: rounds times number
+    rows = scores.join(F.broadcast(before), "_id", "left_anti").select("_id", "_lang", "_source", F.col(z).alias("z"))
+    total = scores.count()
+    out = None
+    for label, some, sure in ((1.0, round(number * good), F.col("z")), (0.0, number - round(number * good), -F.col("z"))):
+        size = scores.groupBy("_lang", "_source").agg(F.ceil(F.count("*") * some / max(1, total)).alias("quota"))
+        order: list[Column] = [sure.desc(), F.col("_id").asc()]
+        rank = F.row_number().over(Window.partitionBy("_lang", "_source").orderBy(*order))
+        first = rows.where(sure > 0).withColumn("rank", rank).where(F.col("rank") <= max(1, some))
+        same = F.col("a._lang").eqNullSafe(F.col("b._lang")) & F.col("a._source").eqNullSafe(F.col("b._source"))
+        first = first.alias("a").join(size.alias("b"), same).select("a._id", "a.rank", "a.z", "b.quota")
+        first = first.where("rank <= quota").orderBy(F.ceil(F.col("rank") / F.col("quota")), *order).limit(some)
+        found = first.select("_id", F.lit(label).alias("y"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def train(
     docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str, source: str, n_chars: str,
-    target: str = "quality", labelled: int = LABELLED, pool: int = POOL,
+    target: str = "quality", labelled: int = LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS,
 ) -> Classifier | None:
-    """Null labels count as none; of several labels of a document the mean is rounded, half to good."""
+    """Null labels count as none; of several labels of a document the mean is rounded, half to good.
+
+    Of rows that share a labelled key the one with the smallest hash of its contents is taken.
+    """
     known = (
         labels.where(F.col(target).isNotNull() & F.col(key).isNotNull())
-        .groupBy(key).agg((F.avg(target) >= 0.5).cast("double").alias("_y"))
+        .groupBy(F.col(key).alias("_key")).agg((F.avg(target) >= 0.5).cast("double").alias("_y"))
     )
-    order = [F.xxhash64(key), F.col(key)]
-    columns = [text, lang, source, n_chars]
-    docs = docs.select(key, *columns)
-    ids = docs.select(key).where(F.col(key).isNotNull())
-    some = ids.join(known, key).orderBy(*order).limit(labelled)
-    rest = ids.join(known, key, "left_anti").orderBy(*order).limit(pool)
-    # Repeated rows: both samples hold ids once, so that they cannot grow beyond their bound by much.
-    seen = _features(docs.join(some.dropDuplicates([key]), key), columns, True)
-    other = _features(docs.join(rest.dropDuplicates([key]), key, "left_semi"), columns, False)
-    if len(set(seen[2])) < 2:
+    named = [text_of(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(n_chars).alias("_n_chars")]
+    docs = docs.select(F.xxhash64(key, text, lang, source, n_chars).alias("_id"), F.col(key).alias("_key"), *named)
+    ids = docs.select("_id", "_key")
+    some = ids.join(known, "_key").groupBy("_key").agg(F.min("_id").alias("_id"), F.min("_y").alias("_y"))
+    some = some.orderBy(F.xxhash64("_key"), "_key").limit(labelled).toPandas().drop_duplicates("_id")
+    if some["_y"].nunique() < 2:
         return None
-    return cotrain(*seen, *other[:2])
+    spark = docs.sparkSession
+    ids_, text_x, page_x = _features(docs, spark.createDataFrame(some[["_id"]]))
+    y = some.set_index("_id").loc[ids_, "_y"].to_numpy()
+    good = float(y.mean())
+
+    def exchange(models: list[View], told: list[set]) -> list[tuple[list, np.ndarray, np.ndarray]]:
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = [pa.array(m.raw(x).astype(float)) for m, x in zip(models, _views(batch), strict=True)]
+                own = [batch.column(c) for c in ("_id", "_key", "_lang", "_source")]
+                yield pa.RecordBatch.from_arrays([*own, *raw], names=["_id", "_key", "_lang", "_source", "z0", "z1"])
+
+        kept = docs.select("_id", "_key", "_lang", "_source", "_text", "_n_chars")
+        schema = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in kept.columns[:4]) + ", z0 double, z1 double"
+        scores = kept.mapInArrow(run, schema)
+        # Copies count once; documents with a label teach by that.
+        scores = scores.join(known, "_key", "left_anti").dropDuplicates(["_id"])
+        scores = written(scores, "scores")
+        out = []
+        for view, z in ((0, "z1"), (1, "z0")):
+            picked = _most_confident(scores, z, sorted(told[view]), good, exchanged).toPandas()
+            found, *x = _features(docs, spark.createDataFrame(picked[["_id"]], "_id bigint"))
+            out.append((found, x[view], picked.set_index("_id").loc[found, "y"].to_numpy()))
+        return out
+
+    return cotrain(text_x, page_x, y, exchange, rounds)
 
 
 def classify(

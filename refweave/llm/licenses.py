@@ -3,11 +3,12 @@
 Phrases give the base places.  For whole notices, the index maps each rare word of the
 templates (high inverse document frequency among them) to its postings: template and
 position.  A word of a file at position ``i`` and a posting at position ``j`` vote for the
-template beginning at word ``i - j``; the template with enough of its rare words at one
-beginning is aligned, and counts if its mandatory key phrase is there too.
+template beginning at word ``i - j``.  Words may be put in or left out, such as the signs of a comment at the begin
+of each line, so beginnings within ``TOLERANCE`` words count together.  The template with enough of its rare words at one
+beginning is aligned, and counts if its mandatory key phrase stands in the file and all words of the phrase vote for
+that beginning too.
 
-Only files with a hint word are aligned: every key phrase has one.  The index has a
-few hundred rows, fixed by the templates, so it is broadcast.
+Only files with a key phrase are aligned.  The index has a few hundred rows, fixed by the templates, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from refweave.operators.joins import join_unique
 
 #: What stands between words; A-Z count as letters, which is the same as lower-casing them before.
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TOLERANCE = 8  # words put in or left out before the beginning seems another one
 ALIGNED = 0.6  # share of a template's rare words at one beginning
-COMMON = 2  # templates that a rare word is in, at most
+COMMON = 3  # templates that a rare word is in, at most
 
 # Phrases, and notices with their mandatory key phrases.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -80,16 +82,30 @@ TEMPLATES = {
         "this work is licensed under a creative commons attribution noncommercial 4 0 international license to view a copy",
         "creative commons attribution noncommercial",
     ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for "
+        "any damages arising from the use of this software",
+        "in no event will the authors be held liable for any damages",
+    ),
+    "bsl-1": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit",
+        "accompanying documentation covered by this license",
+    ),
+    "agpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+        "public license as published by the free software foundation either version",
+        "gnu affero general public license",
+    ),
     "proprietary": (
         "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means",
         "all rights reserved",
     ),
 }
-_HINTS = ["permission", "license", "licenses", "redistribution", "unencumbered", "commons", "reserved"]
 
 
-def index(templates: dict[str, tuple[str, str]] = TEMPLATES, common: int = COMMON) -> list[tuple[str, str, int, int, float]]:
-    """``(word, label, position, bit, idf)`` of the rare words, at most 62 per template, rarest first."""
+def index(templates: dict[str, tuple[str, str]] = TEMPLATES, common: int = COMMON) -> list[tuple[str, str, int, bool, float]]:
+    """``(word, label, position, is_rare, idf)`` of the rare words of each template and of those of its key phrase."""
     words = {label: text.split() for label, (text, _) in templates.items()}
     frequency: dict[str, int] = {}
     for some in words.values():
@@ -97,11 +113,22 @@ def index(templates: dict[str, tuple[str, str]] = TEMPLATES, common: int = COMMO
             frequency[w] = frequency.get(w, 0) + 1
     out = []
     for label, some in words.items():
-        rare = sorted((frequency[w], j, w) for j, w in enumerate(some) if frequency[w] <= common)[:62]
-        out += [(w, label, j, bit, math.log(len(templates) / n)) for bit, (n, j, w) in enumerate(rare)]
+        must = _phrase_places(some, templates[label][1].split())
+        for j, w in enumerate(some):
+            rare = frequency[w] <= common
+            if rare or j in must:
+                out.append((w, label, j, rare, math.log(len(templates) / frequency[w])))
     return out
 
 
+def _phrase_places(words: list[str], phrase: list[str]) -> range:
+    """Where the key phrase stands in its template."""
+    for j in range(len(words) - len(phrase) + 1):
+        if words[j : j + len(phrase)] == phrase:
+            return range(j, j + len(phrase))
+    raise ValueError(f"the key phrase {' '.join(phrase)!r} does not stand in its template")
+
+
 def _phrase(words: str) -> str:
     return rf"(?i)(?<= ){words}(?= )"
 
@@ -125,10 +152,8 @@ def scan(
     same result each; null keys are allowed.  Other columns are not carried.
     """
     spark = df.sparkSession
-    rare = index(templates)
-    n_rare: dict[str, int] = {}
-    for _, label, *_ in rare:
-        n_rare[label] = n_rare.get(label, 0) + 1
+    postings = index(templates)
+    n_rare = {label: max(1, sum(r for _, x, _, r, _ in postings if x == label)) for label in templates}
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(text_of(text), _BETWEEN, " ")), F.lit(" "))
     rows = df.select(F.col(key).alias("_key"), norm.alias("_norm"), text_of(text).alias("_text"))
     for n, phrase in enumerate(phrases):
@@ -138,7 +163,8 @@ def scan(
         rows = rows.withColumn(f"_p{n}", F.transform(f"_p{n}", lambda f: f["start"] - 1))
     every = F.concat(*[F.col(f"_p{n}") for n in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"_p{n}") > 0, F.lit(x)) for n, x in enumerate(phrases.values())]))
-    hinted = F.col("_norm").rlike("(?i) (?:" + "|".join(_HINTS) + ") ")
+    hints = sorted({max(p.split(), key=len) for _, p in templates.values()})
+    hinted = F.col("_norm").rlike("(?i) (?:" + "|".join(map(re.escape, hints)) + ") ")
     verified = F.array_compact(
         F.array(*[F.when(F.col("_norm").rlike(f"(?i) {re.escape(p)} "), F.lit(x)) for x, (_, p) in templates.items()])
     )
@@ -159,17 +185,30 @@ def scan(
         ),
         "licenses",
     )
-    postings = spark.createDataFrame(rare, "word string, label string, j int, bit int, idf double")
+    places = {x: _phrase_places(t.split(), p.split()) for x, (t, p) in templates.items()}
+    rows_ = [(w, x, j, j // 62, j % 62 if rare else None, j % 62 if j in places[x] else None) for w, x, j, rare, _ in postings]
+    table = spark.createDataFrame(rows_, "word string, label string, j int, part int, bit int, must int")
+    # A beginning is in two ranges of twice the tolerance, so that near ones share at least one.
+    at = F.floor((F.col("i") - F.col("j")) / TOLERANCE)
+    set_bit = lambda c: F.bit_or(F.coalesce(F.expr(f"shiftleft(1L, {c})"), F.lit(0)))
     votes = (
         found.where(F.col("_row").isNotNull())
         .select("_row", "_verified", F.posexplode("_words").alias("i", "word"))
-        .join(F.broadcast(postings), "word")
+        .join(F.broadcast(table), "word")
         .where(F.array_contains("_verified", F.col("label")))
-        .groupBy("_row", "label", (F.col("i") - F.col("j")).alias("begin"))
-        # Bits, so that a repeated row does not count twice.
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        .select("_row", "label", "part", "bit", "must", F.explode(F.array(at, at - 1)).alias("begin"))
+        .groupBy("_row", "label", "begin", "part")
+        # Bits, so that a repeated row does not count twice; 62 positions of a template to a number.
+        .agg(set_bit("bit").alias("bits"), set_bit("must").alias("musts"))
+        .groupBy("_row", "label", "begin")
+        .agg(F.sum(F.bit_count("bits")).alias("n"), F.sum(F.bit_count("musts")).alias("n_must"))
     )
-    share = F.bit_count("bits") / F.element_at(F.create_map(*[F.lit(x) for kv in n_rare.items() for x in kv]), F.col("label"))
+
+    def of_label(values: dict[str, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("label"))
+
+    votes = votes.where(F.col("n_must") == of_label({x: len(r) for x, r in places.items()}))
+    share = F.col("n") / of_label(n_rare)
     aligned = (
         votes.withColumn("share", share).where(F.col("share") >= ALIGNED)
         .groupBy("_row").agg(F.collect_set("label").alias("_aligned"), F.max("share").alias("_share"))

@@ -39,7 +39,8 @@ _PATTERNS = {
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
 _TOKEN = "A-Za-z0-9_/+="
 _CANDIDATE = "|".join([
-    rf"(?<![{_TOKEN}-])(?=[A-Za-z_/+=-]{{0,40}}[0-9])[{_TOKEN}-]{{20,}}+",
+    # A run without letters and digits, such as a line of dashes, is none; digits may come late or not at all.
+    rf"(?<![{_TOKEN}-])(?=[_/+=-]*+[A-Za-z0-9])[{_TOKEN}-]{{20,}}+",
     r"(?<![0-9.+])[0-9](?:[ .-]?[0-9]){6,}+",
     r"(?<!\p{L})\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)++(?!\p{L})",
 ])
@@ -168,8 +169,10 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     apart = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["span"]["end"]) & (c["span"]["start"] < b["end"]))
-    out = out.withColumn("_raw", F.filter(raw, apart))
     parts = lambda c: (c["span"]["kind"], c["x"], c["before"], c["after"])
+    # A long word without a digit is only put to the vote where something announces a secret.
+    said = lambda c: (c["span"]["kind"] != "secret") | c["x"].rlike("[0-9]") | _cued(c["span"]["kind"], c["before"])
+    out = out.withColumn("_raw", F.filter(raw, lambda c: apart(c) & said(c)))
     return out.select(
         "_in.*",
         "_base",

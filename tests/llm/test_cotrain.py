@@ -54,13 +54,43 @@ def test_empty_table(spark):
 def test_each_view_learns_from_the_other():
     rng = np.random.default_rng(1)
     y = (rng.random(3000) > 0.5).astype(float)
-    a = y[:, None] * 1.5 + rng.standard_normal((3000, 4))
-    b = y[:, None] * 1.5 + rng.standard_normal((3000, 4))
-    few = np.arange(60)
-    alone = cotrain.cotrain(a[few], b[few], y[few], a[:0], b[:0])
-    both = cotrain.cotrain(a[few], b[few], y[few], a[60:], b[60:], exchanged=0.1)
+    views = [y[:, None] * 1.5 + rng.standard_normal((3000, 4)) for _ in range(2)]
+    few, pool = np.arange(60), np.arange(60, 3000)
+
+    def exchange(models, told):
+        out = []
+        for view, other in ((0, 1), (1, 0)):
+            left = np.array([n for n in pool if n not in told[view]])
+            z = models[other].raw(views[other][left])
+            sure = np.argsort(z)[np.r_[0:75, -75:0]]
+            out.append((left[sure].tolist(), views[view][left[sure]], (z[sure] > 0).astype(float)))
+        return out
+
+    alone = cotrain.cotrain(views[0][few], views[1][few], y[few])
+    both = cotrain.cotrain(views[0][few], views[1][few], y[few], exchange, rounds=4)
     ranked = []
     for model in (alone, both):
-        z = model.scores(a, b)[:, 2]
+        z = model.scores(*views)[:, 2]
         ranked.append(np.mean(np.subtract.outer(z[y == 1][:800], z[y == 0][:800]) > 0))
     assert ranked[1] > 0.98 and ranked[1] >= ranked[0]
+
+
+def test_the_most_confident_of_each_language_and_source(spark):
+    """All unlabelled documents are looked at; small strata give at least one, told documents none."""
+    rows = [(n, "en", "hot", 1.0 + n / 1000) for n in range(900)] + [(1000 + n, None, f"s{n % 3}", 0.1) for n in range(90)]
+    rows += [(2000 + n, "de", "x", -1.0 - n / 1000) for n in range(30)]
+    scores = spark.createDataFrame(rows, "_id bigint, _lang string, _source string, z0 double")
+    got = {r._id: r.y for r in cotrain._most_confident(scores, "z0", [899], 0.8, 50).collect()}
+    assert len(got) == 41  # 40 good ones, and of the only stratum with bad ones its share, 1
+    assert got[898] == 1 and 899 not in got and got[2029] == 0
+    assert sum(1000 <= n < 2000 for n in got) >= 3
+
+
+def test_one_key_very_often(spark):
+    docs, good, labels, _ = rows(300)
+    again = [docs[0]] * 3000 + [(docs[2][0], f"{docs[2][1]} {n}", *docs[2][2:]) for n in range(500)]
+    df = spark.createDataFrame(docs + again, DOCS)
+    got = cotrain.classify(df, spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == len(docs) + len(again)
+    first = [r.score for r in got if r.doc_id == 0]
+    assert len(first) == 3001 and max(first) - min(first) < 1e-9

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from refweave.llm import licenses
 
 SCHEMA = "doc_id bigint, text string, labels string"
@@ -51,10 +53,40 @@ def test_whole_notices_are_aligned(spark):
     assert [r.labels for r in run(spark, list(enumerate(loose)))] == [""] * 3
 
 
-def test_every_key_phrase_has_a_hint_and_fits_its_template():
+def test_every_key_phrase_stands_in_its_template():
     for text, phrase in licenses.TEMPLATES.values():
-        assert set(phrase.split()) & set(licenses._HINTS) and f" {phrase} " in f" {text} "
-    assert all(0 <= bit < 62 for _, _, _, bit, _ in licenses.index())
+        assert f" {phrase} " in f" {text} "
+    with pytest.raises(ValueError):
+        licenses.index({"x": ("some words", "other words")})
+
+
+def test_words_put_in_or_left_out(spark):
+    """One word more or less anywhere outside the key phrase, and comment signs at the begin of lines."""
+    rows, want = [], []
+    for label, (text, phrase) in licenses.TEMPLATES.items():
+        words = text.split()
+        must = licenses._phrase_places(words, phrase.split())
+        for at in range(1, len(words), 3):
+            if at not in must[1:]:
+                rows.append(" ".join([*words[:at], "really", *words[at:]]))
+                want.append(label)
+            if at not in must:
+                rows.append(" ".join(words[:at] + words[at + 1 :]))
+                want.append(label)
+        outside = [n for n in range(0, len(words), 9) if n not in must[1:]]
+        rows.append(" ".join(w if n not in outside else f"rem {w}" for n, w in enumerate(words)))
+        want.append(label)
+    got = {r.doc_id: r.labels.split(",") for r in run(spark, list(enumerate(rows)))}
+    assert all(label in got[n] for n, label in enumerate(want))
+
+
+def test_other_templates(spark):
+    """Hints come from the key phrases, and a template may have more than 62 rare words."""
+    long = " ".join(f"word{n}" for n in range(150))
+    own = {"a": (f"alpha beta gamma {long}", "alpha beta gamma"), "b": ("one two three four five six", "two three")}
+    df = spark.createDataFrame([(1, f"x alpha beta gamma {long}", ""), (2, "alpha beta gamma word1", ""), (3, "one two three four five six", "")], SCHEMA)
+    got = {r.doc_id: r.labels for r in licenses.scan(df, "doc_id", "text", templates=own).collect()}
+    assert got == {1: "a", 2: "", 3: "b"}
 
 
 def test_repeated_rows_and_null_keys(spark):

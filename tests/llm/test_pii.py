@@ -73,6 +73,42 @@ def test_the_method_adds_spans(spark):
     assert by["page 1234567"] == ""
 
 
+def test_whole_secrets_are_candidates(spark):
+    """However late their first digit comes, and without one if something announces them."""
+    late, never = "a" * 45 + "0123456789", "QwErTyUiOpAsDfGhJkLzXcVbNm"
+    rows = [(1, late), (2, f"password: {never}"), (3, never), (4, "-" * 70), (5, "x=" + "Zz9/" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: [(c.span.kind, c.span.start, c.span.end) for c in r._candidates] for r in pii.find(df).collect()}
+    assert got == {1: [("secret", 0, 55)], 2: [("secret", 10, 36)], 3: [], 4: [], 5: [("secret", 0, 20_002)]}
+
+
+def test_recall_of_added_spans(spark):
+    """Planted names, numbers and secrets among ordinary words, and look-alikes that are none."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abdeilnorst", k=rng.randrange(2, 9))) for _ in range(300)]
+    cues = {"name": "signed by ", "number": "phone ", "secret": "token: "}
+    rows, planted, clean = [], {}, set()
+    for i in range(400):
+        text = " ".join(rng.choices(words, k=40)) + " "
+        kind = rng.choice([*cues, "none", "none"])
+        value = {
+            "name": f"{rng.choice(['John', 'Maria', 'Peter', 'Anna'])} {rng.choice(['Keller', 'Novak', 'Doyle'])}",
+            "number": f"{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}",
+            "secret": "".join(rng.choices("0123456789abcdef", k=32)),
+            "none": rng.choice([f"page {rng.randrange(10**7, 10**8)}", f"isbn {rng.randrange(10**9, 10**10)}"]),
+        }[kind]
+        begin = text + cues.get(kind, "")
+        rows.append((i, f"{begin}{value} " + " ".join(rng.choices(words, k=20))))
+        if kind == "none":
+            clean.add(i)
+        else:
+            planted[i] = f"{kind}:{len(begin)}:{len(begin) + len(value)}"
+    spans = {r.doc_id: r.spans.split(",") for r in pii.report(found(spark, rows), "doc_id").collect()}
+    caught = [span in spans[i] for i, span in planted.items()]
+    assert sum(caught) >= 0.9 * len(caught)
+    assert sum(spans[i] == [""] for i in clean) >= 0.9 * len(clean)
+
+
 def test_only_jvm_operators(spark):
     df = spark.createDataFrame([(1, "x@y.zz", "")], SCHEMA)
     plan = pii.report(pii.decide(pii.find(df), [0.0] * 9), "doc_id")._jdf.queryExecution().toString()
