@@ -860,6 +860,79 @@ FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY cursor_id ORDER BY a), 0) AS
 JOIN documents d ON d.doc_id = CAST(split_part(e.cursor_id, ':', 1) AS BIGINT)
 GROUP BY e.cursor_id, e.filename""", prefix=_HITS, ctes=_RENAMED)
 
+# Groups of regions by key, and each caret's keys with the text under it.
+def _key3(kind: str, a: str, b: str = "NULL") -> str:
+    return f"'{kind}' || chr(31) || coalesce({a}, chr(1)) || chr(31) || coalesce({b}, chr(1))"
+
+
+def _single(row: str, sc: str, ec: str) -> str:
+    return f"'single:' || {row} || ':' || {sc} || ':' || {row} || ':' || {ec}"
+
+
+_CARET_GROUPS = (
+    _THING.split("thing AS (")[0].rstrip().rstrip(",")
+    + _STARTS
+    + f""",
+grouped AS (
+  SELECT filename, key, rrow, rsc, rec FROM (
+    SELECT *, {_key3('keyword', 'ns', 'name')} AS key FROM spans WHERE semantic = 'keyword'
+    UNION ALL SELECT *, {_key3('local', 'filename', 'CAST(local_id AS VARCHAR)')} FROM spans WHERE semantic = 'local_usage'
+    UNION ALL SELECT *, {_key3('var', 'to_ns', 'name')} FROM spans WHERE semantic = 'var_usage'
+    UNION ALL SELECT *, {_key3('symbol', 'symbol')} FROM spans WHERE semantic = 'symbol'
+    UNION ALL SELECT *, {_key3('java', 'class_name')} FROM spans WHERE semantic = 'java_class_usage'
+    UNION ALL SELECT *, {_key3('java', 'class_name', 'method_name')} FROM spans
+      WHERE semantic = 'java_class_usage' AND method_name IS NOT NULL
+    UNION ALL SELECT u.*, {_key3('vars-of', 'u.to_ns')} FROM spans u
+      SEMI JOIN (SELECT * FROM v WHERE semantic = 'namespace_usage') n ON n.filename = u.filename AND n.to_ns = u.to_ns
+      WHERE u.semantic = 'var_usage')
+),
+firstdef AS (SELECT * FROM spans WHERE semantic = 'var_definition'
+  QUALIFY row_number() OVER (PARTITION BY filename, ns, name ORDER BY pos) = 1),
+carets AS (
+  SELECT a.*, substr(s.line, a.sc, a.ec - a.sc) AS region_text, a.hit_type = 'keyword' AND a.keys_destructuring AS destructs
+  FROM asked a JOIN starts s ON s.filename = a.filename AND s.row = a.begin_row
+),
+single AS (
+  SELECT cursor_id, filename, region_text, begin_row AS r, sc AS c1, ec AS c2 FROM carets
+  WHERE hit_type IN ('symbol', 'local_binding', 'var_definition', 'namespace_definition', 'namespace_usage')
+  UNION ALL SELECT a.cursor_id, a.filename, a.region_text, l.rrow, l.rsc, l.rec FROM carets a JOIN lastlocal l
+    ON a.hit_type = 'local_usage' AND a.filename = l.filename AND a.local_id = l.local_id
+  UNION ALL SELECT a.cursor_id, a.filename, a.region_text, d.rrow, d.rsc, d.rec FROM carets a JOIN firstdef d
+    ON a.hit_type = 'var_usage' AND a.filename = d.filename AND a.to_ns = d.ns AND a.name = d.name
+  UNION ALL SELECT a.cursor_id, a.filename, a.region_text, b.krow, b.lsc, b.lec FROM carets a JOIN bound b
+    ON a.destructs AND a.filename = b.filename AND a.pos = b.keyword_pos
+),
+targets AS (
+  SELECT DISTINCT cursor_id, filename, key, region_text FROM (
+    SELECT cursor_id, filename, region_text, {_single('r', 'c1', 'c2')} AS key FROM single
+    UNION ALL SELECT cursor_id, filename, region_text, {_key3('keyword', 'ns', 'name')} FROM carets
+      WHERE hit_type = 'keyword' AND NOT destructs
+    UNION ALL SELECT a.cursor_id, a.filename, a.region_text, {_key3('local', 'a.filename', 'CAST(b.local_id AS VARCHAR)')}
+      FROM carets a JOIN bound b ON a.destructs AND a.filename = b.filename AND a.pos = b.keyword_pos
+    UNION ALL SELECT cursor_id, filename, region_text, {_key3('local', 'filename', 'CAST(local_id AS VARCHAR)')} FROM carets
+      WHERE hit_type IN ('local_binding', 'local_usage')
+    UNION ALL SELECT cursor_id, filename, region_text, {_key3('var', 'coalesce(ns, to_ns)', 'name')} FROM carets
+      WHERE hit_type IN ('var_definition', 'var_usage')
+    UNION ALL SELECT cursor_id, filename, region_text, {_key3('symbol', "coalesce(ns, to_ns) || '/' || name")} FROM carets
+      WHERE hit_type IN ('var_definition', 'var_usage')
+    UNION ALL SELECT cursor_id, filename, region_text, {_key3('java', 'class_name', 'method_name')} FROM carets
+      WHERE hit_type = 'java_class_usage'
+    UNION ALL SELECT cursor_id, filename, region_text, {_key3('vars-of', 'to_ns')} FROM carets WHERE hit_type = 'namespace_usage')
+),
+placed_regions AS (
+  SELECT DISTINCT g.filename, g.key, CAST(s.at + g.c1 - 1 AS INTEGER) AS a, CAST(s.at + g.c2 - 1 AS INTEGER) AS b,
+    substr(s.line, g.c1, g.c2 - g.c1) AS region_text
+  FROM (SELECT filename, key, rrow AS r, rsc AS c1, rec AS c2 FROM grouped
+    UNION SELECT filename, {_single('r', 'c1', 'c2')}, r, c1, c2 FROM single) g
+  JOIN starts s ON s.filename = g.filename AND s.row = g.r
+)"""
+)
+_add("rename_targets", "SELECT cursor_id, filename, key, region_text FROM targets", prefix=_HITS, ctes=_CARET_GROUPS)
+_add("rename_edits", """
+SELECT e.filename, e.key, e.region_text, e.a, e.b FROM placed_regions e
+SEMI JOIN targets t ON t.filename = e.filename AND t.key = e.key AND t.region_text = e.region_text""",
+     prefix=_HITS, ctes=_CARET_GROUPS)
+
 # -- state -----------------------------------------------------------------------------
 
 _LOG = """,

@@ -849,16 +849,21 @@ def _rename_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
     return rg.rename_tables(asked(spark, sf), carets(spark, sf), region_groups(spark, sf), files(spark, sf))
 
 
+def _shown_key() -> Column:
+    """A group's key, with a sign that every reader takes where a part is missing."""
+    return F.translate("key", "\0", "\1").alias("key")
+
+
 @query
 def rename_targets(spark, sf):
     """The groups that each caret selects or renames."""
-    return _rename_tables(spark, sf)[0].select("cursor_id", "filename", "key", "region_text")
+    return _rename_tables(spark, sf)[0].select("cursor_id", "filename", _shown_key(), "region_text")
 
 
 @query
 def rename_edits(spark, sf):
     """The regions of each group that a caret selects or renames."""
-    return _rename_tables(spark, sf)[1].select("filename", "key", "region_text", "a", "b")
+    return _rename_tables(spark, sf)[1].select("filename", _shown_key(), "region_text", "a", "b")
 
 
 # -- state -------------------------------------------------------------------------------------
