@@ -841,10 +841,13 @@ _RENAMED = (
     _THING
     + _STARTS
     + """,
+requested AS (SELECT cursor_id FROM cursors
+  QUALIFY row_number() OVER (PARTITION BY filename
+    ORDER BY NOT (begin_row = 2 AND split_part(cursor_id, ':', 3) = '1'), begin_row, CAST(split_part(cursor_id, ':', 3) AS INTEGER)) = 1),
 edits AS (
   SELECT DISTINCT t.cursor_id, t.filename, CAST(s.at + t.rsc - 1 AS INTEGER) AS a, CAST(s.at + t.rec - 1 AS INTEGER) AS b,
     substr(s.line, t.rsc, t.rec - t.rsc) AS region_text
-  FROM thing t JOIN asked q ON t.cursor_id = q.cursor_id AND q.begin_row = 2 AND split_part(q.cursor_id, ':', 3) = '1'
+  FROM thing t JOIN requested USING (cursor_id) JOIN asked q ON t.cursor_id = q.cursor_id
   JOIN starts s ON s.filename = t.filename AND s.row = t.rrow
   JOIN starts s0 ON s0.filename = t.filename AND s0.row = q.begin_row
   WHERE substr(s.line, t.rsc, t.rec - t.rsc) = substr(s0.line, q.sc, q.ec - q.sc)

@@ -233,9 +233,9 @@ def cursors(documents: DataFrame) -> DataFrame:
 
 
 def requests(documents: DataFrame, new_text: str = "renamed") -> DataFrame:
-    """One rename per document: the caret on the first word of its second line."""
-    return (
-        cursors(documents)
-        .where((F.col("begin_row") == 2) & F.endswith("cursor_id", F.lit(":2:1")))
-        .withColumn("new_text", F.lit(new_text))
-    )
+    """One rename per document: the caret on the first word of its second line, or else its first caret."""
+    word = F.substring_index("cursor_id", ":", -1).cast("int")
+    carets = cursors(documents)
+    later = ~((F.col("begin_row") == 2) & (word == 1))
+    first = F.min_by(F.struct(*carets.columns), F.struct(later, "begin_row", word)).alias("c")
+    return carets.groupBy("project", "filename").agg(first).select("c.*").withColumn("new_text", F.lit(new_text))
