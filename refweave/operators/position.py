@@ -1,9 +1,9 @@
 """What is under a caret: row equality plus interval containment, for all carets at once.
 
 Regions on one row are cut into buckets of a fixed width and joined with carets on
-``(project, filename, row, bucket)``.  A region takes as many buckets as its text is
-long, so the exploded side grows with the text, and a caret meets only the regions
-near it: no pairs per row, no nested-loop join.
+``(project, filename, row, bucket)``, so a caret meets only the regions near it: no pairs per row, no
+nested-loop join.  A long region, of which a minified file may have many, takes buckets that are as much wider as
+it is longer: five of them at most, however long it is, and carets look into the widths that there are.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from ..functions.scalars import alias_region, region
 from . import index as ix
 
 BUCKET = 32  # columns
+SHORT = 8  # buckets of a region that is not long
+WIDER = 4  # times, from one width to the next
 
 # What a caret hits first wins.  Fixed values: the order of tries.
 PRIORITY = [
@@ -83,6 +85,15 @@ def _buckets(first: Column, last: Column) -> Column:
     return F.sequence(F.floor(first / BUCKET).cast("int"), F.floor(last / BUCKET).cast("int"))
 
 
+def _wide_buckets() -> Column:
+    """``(width, bucket)`` of a long region, in the least width of which few buckets cover it."""
+    length = F.col("end_col") - F.col("start_col") + 1
+    steps = F.ceil(F.log(float(WIDER), length / (WIDER * BUCKET)))
+    width = (BUCKET * F.pow(F.lit(float(WIDER)), F.greatest(steps, F.lit(1)))).cast("bigint")
+    buckets = F.sequence(F.floor(F.col("start_col") / width), F.floor(F.col("end_col") / width))
+    return F.transform(buckets, lambda b: F.struct(width.alias("width"), b.alias("wide_bucket")))
+
+
 def _contains() -> Column:
     """Region contains caret or selection, both ends included."""
     starts = (F.col("start_row") < F.col("begin_row")) | (
@@ -111,12 +122,20 @@ def containing(
         ordered & (F.col("start_row") <= F.col("idx_row")) & (F.col("end_row") >= F.col("idx_row"))
     ).withColumnRenamed("idx_row", "begin_row")
     one_row = F.col("start_row") == F.col("end_row")
-    short = reaching.where(one_row).withColumn(
+    is_long = F.col("end_col") - F.col("start_col") >= SHORT * BUCKET
+    short = reaching.where(one_row & ~is_long).withColumn(
         "bucket", F.explode(_buckets(F.col("start_col"), F.col("end_col")))
     )
     placed = carets.withColumn("bucket", F.floor(F.col("begin_col") / BUCKET).cast("int"))
     near = placed.join(short, on).where(_contains())
 
+    # Most files have no long region, and then there are no widths to look into.
+    long = reaching.where(one_row & is_long).select("*", F.explode(_wide_buckets()).alias("w")).select("*", "w.*").drop("w")
+    widths = long.agg(F.collect_set("width")).scalar()
+    looking = placed.withColumn("width", F.explode(widths)).withColumn("wide_bucket", F.floor(F.col("begin_col") / F.col("width")))
+    wide = looking.join(long, [*keys, "begin_row", "width", "wide_bucket"]).where(_contains())
+    near = near.unionByName(wide.select(*near.columns))
+
     # Regions over several rows reach to the end of the row: rare, compared row by row.
     far = placed.join(reaching.where(~one_row), [*keys, "begin_row"]).where(_contains())
     return near.unionByName(far.select(*near.columns))

@@ -947,6 +947,12 @@ _add("current_records", """
 SELECT project, filename, semantic, run_seq, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM log
 WHERE run_seq = CASE WHEN file_ord % 3 = 0 AND file_ord % 30 <> 0 THEN 2 ELSE 1 END GROUP BY ALL""", ctes=_LOG)
 
+_add("compacted_records", """
+SELECT project, filename, semantic, run_seq, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos
+FROM (SELECT * FROM log UNION ALL SELECT *, 3 AS run_seq FROM rec WHERE file_ord % 7 = 0 AND pos < 6442450944)
+WHERE file_ord % 70 <> 1 AND run_seq = CASE WHEN file_ord % 7 = 0 THEN 3 WHEN file_ord % 3 = 0 AND file_ord % 30 <> 0 THEN 2 ELSE 1 END
+GROUP BY ALL""", ctes=_LOG)
+
 _add("current_records_mentioned", """
 SELECT project, filename, run_seq, count(*) AS n FROM log
 WHERE run_seq = CASE WHEN file_ord % 3 = 0 THEN 2 ELSE 1 END GROUP BY ALL""", ctes=_LOG)

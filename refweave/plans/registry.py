@@ -899,6 +899,32 @@ def current_records_mentioned(spark, sf):
     return st.current_records(log, empty).groupBy("project", "filename", "run_seq").agg(F.count("*").alias("n"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written, as a compacted log is, and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@query
+def compacted_records(spark, sf):
+    """The log merged run by run: the second run, then an older one that came late, then a third one."""
+    runs = run_log(spark, sf)
+    first, second = runs.where("run_seq = 1"), runs.where("run_seq = 2")
+    late = first.where(F.col("file_ord") % 3 == 0)
+    third = first.where((F.col("file_ord") % 7 == 0) & (F.col("pos") < F.lit(3 << 31))).withColumn("run_seq", F.lit(3).cast("bigint"))
+    emptied = first.where(F.col("file_ord") % 70 == 1).select("project", "scope", "filename", "file_ord").distinct()
+    emptied = emptied.withColumn("run_seq", F.lit(3).cast("bigint"))
+    current = first.where(F.col("file_ord") % 3 != 0)
+    versions = st.file_versions(current).drop("first_run")
+    for delta, mentioned in ((second, None), (late, None), (third, emptied)):
+        current, versions = st.compact(current, versions, delta, mentioned)
+        current, versions = _kept(current, "compacted"), _kept(versions, "versions")
+    return current.groupBy("project", "filename", "semantic", "run_seq").agg(
+        F.count("*").alias("n"), F.sum("pos").alias("sum_pos")
+    )
+
+
 @query
 def latest_report(spark, sf):
     """Library reports replace everything of their project."""

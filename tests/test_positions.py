@@ -70,6 +70,26 @@ def test_one_row_only_files_never_pair_everything(spark):
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_long_regions_on_one_line(spark):
+    """Nested regions of a minified line: few buckets each, every caret in all that contain it."""
+    rng = random.Random(3)
+    regions = []
+    for n in range(400):
+        length = int(10 ** rng.uniform(0, 6))
+        start = rng.randint(1, 10**6)
+        regions.append(("p", "f", n, 1, 1, start, 1, start + length))
+    r = spark.createDataFrame(
+        regions, "project string, filename string, hit_pos bigint, idx_row int, start_row int, start_col int, end_row int, end_col int"
+    )
+    at = [rng.randint(1, 10**6) for _ in range(200)] + [x[5] for x in regions[:50]] + [x[7] for x in regions[:50]]
+    c = spark.createDataFrame([("p", "f", i, 1, col, 1, col) for i, col in enumerate(at)],
+                              "project string, filename string, cursor_id bigint, begin_row int, begin_col int, sel_end_row int, sel_end_col int")
+    want = sorted((i, x[2]) for i, col in enumerate(at) for x in regions if x[5] <= col <= x[7])
+    assert rows(ps.containing(r, c), "cursor_id", "hit_pos") == sorted(want, key=str)
+    long = r.where("end_col - start_col >= 256")
+    assert long.select(F.explode(ps._wide_buckets())).count() <= 5 * long.count()
+
+
 CONTENT = "(defn f [x]\n  (f x))\n(f 1)\n"
 
 
