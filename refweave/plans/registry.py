@@ -829,7 +829,7 @@ def highlight_counts_others(spark, sf):
 def _rename_regions(spark, sf) -> tuple[DataFrame, DataFrame]:
     requests = docs.requests(documents(spark, sf))
     hit = asked(spark, sf).join(requests.select("cursor_id"), "cursor_id", "left_semi")
-    return rg.text_regions(hit, records(spark, sf), files(spark, sf)), requests
+    return rg.text_regions(hit, records(spark, sf), files(spark, sf), region_groups(spark, sf)), requests
 
 
 @query
@@ -978,10 +978,11 @@ def stale_files(spark, sf):
 @query
 def fresh_highlights(spark, sf):
     """Highlights of views analysed at their present version; document n is open in view n."""
-    counts = _highlight_counts(spark, sf, False).withColumn(
-        "view_id", F.concat(F.lit("v"), F.regexp_extract("filename", "/d([0-9]+)", 1))
-    )
-    return st.fresh(counts, *_view_state(spark, sf), ["view_id"]).select("view_id", "filename", "n_carets", "n_highlighted")
+    view = F.concat(F.lit("v"), F.regexp_extract("filename", "/d([0-9]+)", 1))
+    # The gate comes first: only carets of fresh views are looked at.
+    fresh = st.fresh(carets(spark, sf).withColumn("view_id", view), *_view_state(spark, sf), ["view_id"])
+    counts = rg.highlight_counts(fresh, region_groups(spark, sf), False)
+    return counts.select(view.alias("view_id"), "filename", "n_carets", "n_highlighted")
 
 
 @query
