@@ -176,3 +176,23 @@ def test_no_query_nests_loops(spark):
     for name in ("at_position", "usages", "definitions_by_scope", "next_prev", "highlights", "rename_regions"):
         plan = registry.all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_carets_are_read_once_if_regions_are_short_and_on_one_row(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def column(n):
+        read.add(1)
+        return n
+
+    carets = spark.range(40).select(
+        F.lit("p").alias("project"), F.lit("/p/a.clj").alias("filename"), F.lit(1).alias("begin_row"),
+        column(F.col("id").cast("int")).alias("begin_col"), F.lit(1).alias("sel_end_row"), F.col("id").cast("int").alias("sel_end_col"),
+    )
+    region = "'p' project, '/p/a.clj' filename, 1 idx_row, 1 start_row, 3 start_col, {} end_row, {} end_col"
+    for end_row, end_col, hit, times in ((1, 8, 6, 1), (1, 700, 37, 2), (2, 1, 37, 2)):
+        before = read.value
+        regions = spark.sql("SELECT " + region.format(end_row, end_col))
+        assert ps.containing(regions, carets).count() == hit
+        assert read.value - before <= 40 * times
