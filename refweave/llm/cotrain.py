@@ -29,6 +29,7 @@ LOST = 0.005  # share of held-out good documents that the threshold may reject
 ADDED = ["text_score", "page_score", "score", "kept"]
 _TRIGRAMS, _NAMES = 1024, 32
 _CHARS = 1 << 20
+_ROWS = 512  # that a step of the fit turns to double precision at a time
 
 
 def text_view(text: str) -> np.ndarray:
@@ -81,14 +82,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, y: np.ndarray, sample: np.ndarray, penalty: float, steps: int) -> np.ndarray:
-    """Weighted logistic regression by accelerated gradient descent; the last weight is the constant."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
+    """Weighted logistic regression by accelerated gradient descent; the last weight is the constant.
+
+    Double precision takes ``_ROWS`` rows at a time, so that beside ``x`` next to nothing is held.
+    """
     sample = sample / sample.sum()
-    rate = 4.0 / max(1e-9, float((sample * (x * x).sum(axis=1)).sum()))
-    w = before = np.zeros(x.shape[1])
+    blocks = [slice(n, n + _ROWS) for n in range(0, len(x), _ROWS)]
+    size = 0.0
+    for b in blocks:
+        part = np.column_stack([x[b], np.ones(len(x[b]), x.dtype)])
+        size += float((sample[b] * (part * part).sum(axis=1)).sum())
+    rate = 4.0 / max(1e-9, size)
+    w = before = np.zeros(x.shape[1] + 1)
+    part = np.ones((min(len(x), _ROWS), len(w)))
     for step in range(steps):
         ahead = w + step / (step + 3) * (w - before)
-        slope = x.T @ (sample * (_sigmoid(x @ ahead) - y)) + penalty * np.append(ahead[:-1], 0)
+        slope = penalty * np.append(ahead[:-1], 0)
+        for b in blocks:
+            some = part[: len(y[b])]
+            some[:, :-1] = x[b]
+            slope += some.T @ (sample[b] * (_sigmoid(some @ ahead) - y[b]))
         before, w = w, ahead - rate * slope
     return w
 
@@ -98,7 +111,9 @@ def fit(x: np.ndarray, y: np.ndarray, sample: np.ndarray | None = None) -> View:
     sample = np.ones(len(y)) if sample is None else sample
     sample = np.where(y == 1, sample / max(1e-9, sample[y == 1].sum()), sample / max(1e-9, sample[y == 0].sum()))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    return View(mean, scale, _descend((x - mean) / scale, y, sample, 1e-3, 150))
+    x = x - mean
+    x /= scale
+    return View(mean, scale, _descend(x, y, sample, 1e-3, 150))
 
 
 @dataclass
@@ -173,9 +188,17 @@ def _features(docs: DataFrame, wanted: DataFrame) -> tuple[list, np.ndarray, np.
             )
 
     found = docs.join(F.broadcast(wanted.select("_id")), "_id", "left_semi").select("_id", *_FIELDS)
-    found = found.mapInArrow(run, "_id bigint, x binary").dropDuplicates(["_id"]).toArrow().sort_by("_id")
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(-1, _TRIGRAMS + 2 * _NAMES + 12)
-    return found.column("_id").to_pylist(), x[:, :_TRIGRAMS], x[:, _TRIGRAMS:]
+    found = found.mapInArrow(run, "_id bigint, x binary").dropDuplicates(["_id"]).toArrow()
+    ids = found.column("_id").to_numpy()
+    order = np.argsort(ids)
+    place = np.empty(len(ids), int)
+    place[order] = np.arange(len(ids))
+    x, at = np.empty((len(ids), _TRIGRAMS + 2 * _NAMES + 12), "<f4"), 0
+    for chunk in found.column("x").chunks:  # row by row: the driver holds the features once, besides what came in
+        for n, row in enumerate(chunk, at):
+            x[place[n]] = np.frombuffer(row.as_buffer(), "<f4")
+        at += len(chunk)
+    return ids[order].tolist(), x[:, :_TRIGRAMS], x[:, _TRIGRAMS:]
 
 
 def _most_confident(scores: DataFrame, z: str, told: list, good: float, number: int) -> DataFrame:

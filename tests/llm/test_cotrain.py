@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -94,3 +95,18 @@ def test_one_key_very_often(spark):
     assert len(got) == len(docs) + len(again)
     first = [r.score for r in got if r.doc_id == 0]
     assert len(first) == 3001 and max(first) - min(first) < 1e-9
+
+
+def test_a_fit_holds_its_features_twice_at_most():
+    """Also in double precision: the driver has little memory besides Spark's own."""
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 1024), np.float32)
+    y = (x[:, 0] > 0.5).astype(float)
+    tracemalloc.start()
+    try:
+        view = cotrain.fit(x, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.mean((view.raw(x) > 0) == (y == 1)) > 0.9
+    assert peak < 2 * x.nbytes
