@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
+from refweave.operators import position as ps
+from refweave.plans import registry
 from refweave.session import derived_table, spread_text
+from refweave.sources import documents as docs
 
 
 def test_tables_by_kind_are_written_without_a_shuffle(spark):
@@ -26,3 +29,42 @@ def test_many_texts_are_dealt_by_their_size(spark, monkeypatch):
     assert spread_text(texts, "text", "id").rdd.getNumPartitions() == 10
     assert spread_text(texts.where("id < 0"), "text", "id").rdd.getNumPartitions() == 4
     assert sorted(r.id for r in spread_text(texts, "text", "id").collect()) == list(range(100))
+
+
+def _exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in line]
+
+
+def test_tables_dealt_by_project_meet_without_a_shuffle(spark, monkeypatch):
+    """Only documents are dealt: no record, caret or answer is shuffled after that."""
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = registry.records(spark, sf)
+        asked = ps.at_position(records, docs.cursors(registry._dealt(spark, sf)))
+        assert {line.split("Exchange ")[1].split("(")[1] for line in _exchanges(asked)} == {"concat"}
+        for name in ("call_degrees", "deduped", "var_usages", "usages", "ns_usages_in_view"):
+            assert not _exchanges(registry.all_queries()[name](spark, sf)), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dealt_tables_hold_every_row_once(spark):
+    """Also with null and repeated keys, and if rows were dealt otherwise before."""
+    rows = spark.range(0, 300, 1, 3).selectExpr("id", "if(id % 7 = 0, null, concat('p', id % 5)) as project", "id % 2 as kind")
+    for n, given in enumerate((rows, rows.repartition(6, "project"))):
+        table = derived_table(spark, f"dealt-{n}".replace("-", "_"), "test_session", lambda df=given: df, ["kind"], "project", lambda: 6)
+        assert sorted(map(tuple, table.select(*rows.columns).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_starts_of_words_in_lines_short_and_long(spark, monkeypatch):
+    text = "  Ab, cd  éf \n" + " ".join(f"w{n}" for n in range(200)) + "\n\nend"
+    df = spark.createDataFrame([(1, text, "en"), (2, "", None), (3, None, "de")], "doc_id bigint, text string, lang string")
+    found = []
+    for limit in (0, 64, 1000):
+        monkeypatch.setattr(docs, "LONG_LINE", limit)
+        found.append(sorted((r.row, r.i, r.col, r.tok) for r in docs.tokens(df).collect()))
+    assert found[0] == found[1] == found[2]
+    lines = text.split("\n")
+    assert all(lines[row - 1][col - 1 :].startswith(tok) for row, _, col, tok in found[0]) and len(found[0]) == 204
