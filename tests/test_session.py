@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from refweave.operators import position as ps
+from refweave.operators.joins import join_unique
 from refweave.plans import registry
 from refweave.session import derived_table, spread_text
 from refweave.sources import documents as docs
@@ -68,3 +69,16 @@ def test_starts_of_words_in_lines_short_and_long(spark, monkeypatch):
     assert found[0] == found[1] == found[2]
     lines = text.split("\n")
     assert all(lines[row - 1][col - 1 :].startswith(tok) for row, _, col, tok in found[0]) and len(found[0]) == 204
+
+
+def test_other_tables_are_split_as_before(make, spark):
+    """Dealt tables in a session do not keep a hot key of another table from being shuffled on both sides."""
+    registry.records(spark, "/root/testdata/sf0.001")
+    many = make(("var_usage", {"name": "hot"}), ("var_usage", {"name": "x"}))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_unique(many, many.groupBy("project", "name").count(), ["project", "name"])
+        assert len(_exchanges(joined)) == 3 and joined.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
