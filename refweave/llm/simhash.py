@@ -32,6 +32,7 @@ JACCARD_WIDTH = 5  # words
 _MAP = 1 << 26  # bits
 BANDS, BAND = 24, 5  # a similarity of 0.8 misses all bands with probability 1e-4
 _MEMBERS = 256  # pairs of a hub that are compared in one task
+_ENDS = ("a", "b", "root_a", "root_b")
 _MIXED = 1 << 13  # shingles whose hashes are mixed at a time
 _FACTORS, _TERMS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND, 1), np.uint64) | np.uint64(1)
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -297,11 +298,11 @@ def shingle_set(text: str, width: int = JACCARD_WIDTH) -> np.ndarray:
 
 
 def bands(shingles: np.ndarray) -> list[int]:
-    """A hash per band of ``BAND`` min-wise hashes: two sets agree in each with a probability of their similarity."""
+    """A hash per band of ``BAND`` min-wise hashes, which no other band has: two sets agree in each with a probability of their similarity."""
     least = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
     for start in range(0, len(shingles), _MIXED):
         least = np.minimum(least, (shingles[start : start + _MIXED] * _FACTORS + _TERMS).min(axis=1))
-    out = np.zeros(BANDS, np.uint64)
+    out = np.arange(BANDS, dtype=np.uint64)
     for part in least.reshape(BANDS, BAND).T:
         out = (out ^ part) * np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
@@ -315,7 +316,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> DataFrame:
-    """``(key, same, fps, bands)``: a hash of all words, equal for equal texts only, fingerprints and bands."""
+    """``(key, same, size, fps, bands)``: a hash of all words, equal for equal texts only, number of shingles, fingerprints, bands."""
     import xxhash
 
     bounded_batches(df.sparkSession)
@@ -326,13 +327,14 @@ def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> Da
             texts = batch.column(1).to_pylist()
             same = [xxhash.xxh3_128_digest(_normalized(t)) for t in texts]
             fps = [several_fingerprints(t, width, several) for t in texts]
-            found = [bands(shingle_set(t)) for t in texts]
-            longs = (pa.array(x, pa.list_(pa.int64())) for x in (fps, found))
+            sized = [(len(x), bands(x)) for x in map(shingle_set, texts)]
+            sizes = pa.array([n for n, _ in sized], pa.int64())
+            longs = (pa.array(x, pa.list_(pa.int64())) for x in (fps, [x for _, x in sized]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.binary()), *longs], names=[key, "same", "fps", "bands"]
+                [batch.column(0), pa.array(same, pa.binary()), sizes, *longs], names=[key, "same", "size", "fps", "bands"]
             )
 
-    schema = f"`{key}` bigint, same binary, fps array<bigint>, bands array<bigint>"
+    schema = f"`{key}` bigint, same binary, size bigint, fps array<bigint>, bands array<bigint>"
     return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, schema)
 
 
@@ -407,8 +409,11 @@ def near_copies(
     finds a similarity of 0.8 or more wherever the edits lie.  Each link between different texts is an
     edge only if the Jaccard similarity of their five-word shingles is ``LEAST`` or more.
 
-    Members of a band are compared with its smallest node first, and then, as long as they are not connected,
-    with nodes that are drawn anew for each band and round, until a round links nothing more.  Each round
+    Sets whose sizes alone keep them below ``LEAST`` are not compared.
+    A document is compared with the candidate that it agrees with most often, and with the others only if that leaves them apart.
+    Members of a band are compared with its smallest node, and then, as long as they are not connected,
+    with nodes that are drawn anew for each band and round, until a round links nothing more.  A node that all of a band have met
+    leaves the band, a band in which all are connected is done, and no pair is compared twice.  Each round
     takes one comparison a member and band, so a dense group stays linear.  A pair of similar texts can be missed only if in every
     band that they share neither was drawn while the other was apart; texts of a dense group usually share most bands.
     Texts without words are one text.
@@ -417,35 +422,81 @@ def near_copies(
         raise ValueError("too many fingerprints")
     rows = written(sketches(df, key, text, width, several), "sketches")
     # The same text is one node, however many rows have it.
-    nodes = written(rows.groupBy("same").agg(*(F.min_by(c, key).alias(c) for c in ("fps", "bands")), F.min(key).alias("node")), "nodes")
+    nodes = written(rows.groupBy("same").agg(*(F.min_by(c, key).alias(c) for c in ("size", "fps", "bands")), F.min(key).alias("node")), "nodes")
     spread = nodes.select("node", F.posexplode("fps").alias("kind", "fp"))
     # A fingerprint stands for the smallest node that has it.
     first = written(spread.groupBy("kind", "fp").agg(F.min("node").alias("first")), "first")
     shared = join_unique(spread, first, ["kind", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    agreed = nodes.select("node", F.posexplode("bands").alias("n", "band"))
-
-    def stars(rank: Column) -> DataFrame:
-        head = agreed.groupBy("n", "band").agg(F.min_by("node", rank).alias("b"), F.count("*").alias("c")).where("c > 1")
-        return join_unique(agreed, head.drop("c"), ["n", "band"]).select(F.col("node").alias("a"), "b")
-
-    pairs = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size)).unionByName(stars(F.col("node")))
-    edges = written(verified(pairs.where("a != b").distinct(), df, key, text), "near")
-    roots = written(components(edges), "roots")
+    agreed = nodes.select("node", F.explode("bands").alias("band"))
+    heads = agreed.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    agreed = written(join_unique(agreed, heads, ["band"]).where("node != b"), "agreed")
+
+    found = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size))
+    found = found.unionByName(agreed.select(F.col("node").alias("a"), "b")).where("a != b")
+    found = written(found.groupBy("a", "b").agg(F.count("*").alias("c")), "candidates")
+    roots = written(nodes.select("node", F.col("node").alias("root"), "size"), "roots")
+    likely = _rooted(found, roots)
+    best = likely.groupBy("a").agg(F.min(F.struct(-F.col("c"), "b", "root_a", "root_b")).alias("best")).select("a", "best.*")
+    best = written(best.select(*_ENDS), "best")
+    roots, _ = _connected(roots, best, df, key, text)
+    others = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+    roots, _ = _connected(roots, _rooted(others, roots), df, key, text)
+    compared = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    members = agreed.select("node", "band")
     for draw in itertools.count(1):
-        # What is connected need not be compared again; the rest of a band may have met an unlike member only.
-        again = stars(F.xxhash64("n", "node", F.lit(draw))).where("a != b").distinct()
-        for side in ("a", "b"):
-            of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            again = join_unique(again, of_side, [side], "left")
-        again = again.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        more = written(verified(again, df, key, text), "near")
-        if more.isEmpty():
+        members, pairs = _drawn(members, roots, draw)
+        ends = F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")
+        pairs = pairs.select("*", *ends).join(compared, ["x", "y"], "left_anti").select(*pairs.columns)
+        pairs = written(pairs, "drawn")
+        roots, linked = _connected(roots, pairs, df, key, text)
+        if not linked:
             break
-        edges = edges.unionByName(more)
-        roots = written(components(edges), "roots")
-    named = join_unique(nodes, roots, ["node"], "left").select("same", F.coalesce("root", "node").alias("component_id"))
+        compared = compared.unionByName(pairs.select(*ends))
+    named = join_unique(nodes.select("same", "node"), roots, ["node"]).select("same", F.col("root").alias("component_id"))
     return join_unique(rows.select(key, "same"), named, ["same"]).select(key, "component_id")
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` that are not connected and may be similar, with ``root_a`` and ``root_b``."""
+    for side in ("a", "b"):
+        of_side = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"), F.col("size").alias(f"size_{side}"))
+        pairs = join_unique(pairs, of_side, [side])
+    return written(pairs.where("root_a != root_b").where(_alike()).drop("size_a", "size_b"), "apart")
+
+
+def _alike() -> Column:
+    """Two sets are not more similar than the smaller size is to the larger one."""
+    return F.try_divide(F.least("size_a", "size_b"), F.greatest("size_a", "size_b")) >= LEAST
+
+
+def _connected(roots: DataFrame, pairs: DataFrame, df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """``roots(node, root)`` with the similar ones of ``pairs(a, b, root_a, root_b)`` connected, and whether there are any."""
+    near = written(verified(pairs.select("a", "b"), df, key, text), "near")
+    if near.isEmpty():
+        return roots, False
+    # Between roots only: what is connected is not gone through again.
+    edges = join_unique(near, pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    moved = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(join_unique(roots, moved, ["root"], "left").select("node", F.coalesce("to", "root").alias("root"), "size"), "roots"), True
+
+
+def _drawn(members: DataFrame, roots: DataFrame, draw: int) -> tuple[DataFrame, DataFrame]:
+    """One round: ``(node, band)`` of the ``members`` that are left, and pairs ``(a, b, root_a, root_b)`` to be compared.
+
+    Bands whose members are all connected are left out; so are drawn nodes, which all others of their band meet now.
+    """
+    rooted = join_unique(members, roots, ["node"])
+    rank = F.xxhash64("band", "node", F.lit(draw))
+    heads = rooted.groupBy("band").agg(
+        F.min_by(F.struct("node", "root", "size"), rank).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    heads = heads.where("low < high").select(
+        "band", F.col("head.node").alias("b"), F.col("head.root").alias("root_b"), F.col("head.size").alias("size_b")
+    )
+    rooted = written(join_unique(rooted, heads, ["band"]).where("node != b"), "members")
+    pairs = rooted.withColumnsRenamed({"node": "a", "root": "root_a", "size": "size_a"}).where("root_a != root_b").where(_alike())
+    return rooted.select("node", "band"), pairs.select(*_ENDS).distinct()
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

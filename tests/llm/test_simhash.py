@@ -155,3 +155,31 @@ def test_near_copies_with_a_changed_passage(spark, share):
     near = [(i - i % 5, i) for i in range(len(rows)) if i % 5 and jaccard(rows[i - i % 5], rows[i]) >= 0.8]
     assert len(near) >= 300 * (share < 0.2) + 90
     assert np.mean([got[i] == got[j] for i, j in near]) > 0.98
+
+
+def test_no_pair_is_compared_twice(spark, monkeypatch):
+    """A group of near copies takes few comparisons, unlike texts that share bands one a pair, sets of other sizes none."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(4000)]
+    base, other, rows = rng.choices(vocab, k=300), rng.choices(vocab, k=300), []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(300)] = rng.choice(vocab)
+        rows.append(copy)
+    rows += [other[:200] + rng.choices(vocab, k=80) for _ in range(40)] + [other[:200], other + other[:250:-1] * 3]
+    compared, verified = [], simhash.verified
+
+    def counted(pairs, *args):
+        compared.append([(r.a, r.b) for r in pairs.collect()])
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    df = spark.createDataFrame([(n, " ".join(words)) for n, words in enumerate(rows)], "id bigint, text string")
+    got = dict(map(tuple, simhash.near_copies(df, "id", "text").collect()))
+    assert [got[i] for i in range(60)] == [0] * 60 and all(got[i] == i for i in range(60, len(rows)))
+    pairs = [tuple(sorted(p)) for found in compared for p in found]
+    assert len(pairs) == len(set(pairs)) and len(compared) > 2
+    assert sum(b < 60 for _, b in pairs) <= 2 * 60
+    sizes = [len(simhash.shingle_set(" ".join(words))) for words in rows]
+    assert all(min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) for a, b in pairs)
