@@ -433,7 +433,7 @@ def near_copies(
 
     found = shared.unionByName(links(first.withColumnRenamed("first", "node"), radius, size))
     found = found.unionByName(agreed.select(F.col("node").alias("a"), "b")).where("a != b")
-    found = written(found.groupBy("a", "b").agg(F.count("*").alias("c")), "candidates")
+    found = written(_unordered(found, F.max(F.struct("a", "b")).alias("p"), F.count("*").alias("c")).select("p.*", "c"), "candidates")
     roots = written(nodes.select("node", F.col("node").alias("root"), "size"), "roots")
     likely = _rooted(found, roots)
     best = likely.groupBy("a").agg(F.min(F.struct(-F.col("c"), "b", "root_a", "root_b")).alias("best")).select("a", "best.*")
@@ -445,17 +445,22 @@ def near_copies(
     members = agreed.select("node", "band")
     for draw in itertools.count(1):
         members, pairs = _drawn(members, roots, draw)
-        ends = F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")
-        pairs = pairs.select("*", *ends).join(compared, ["x", "y"], "left_anti").select(*pairs.columns)
+        # The same pair may be drawn in several bands, and either way round.
+        pairs = _unordered(pairs, F.max(F.struct(*_ENDS)).alias("p")).join(compared, ["x", "y"], "left_anti").select("p.*")
         pairs = written(pairs, "drawn")
         roots, linked = _connected(roots, pairs, df, key, text)
         if not linked:
             break
-        compared = compared.unionByName(pairs.select(*ends))
+        compared = compared.unionByName(_unordered(pairs, F.count("*")).select("x", "y"))
     named = join_unique(nodes.select("same", "node"), roots, ["node"]).select("same", F.col("root").alias("component_id"))
     return join_unique(rows.select(key, "same"), named, ["same"]).select(key, "component_id")
 
 
+def _unordered(pairs: DataFrame, *found: Column) -> DataFrame:
+    """``(x, y)``, the smaller end first, and what is ``found`` of all ``pairs(a, b)`` of these ends."""
+    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(*found)
+
+
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs(a, b)`` that are not connected and may be similar, with ``root_a`` and ``root_b``."""
     for side in ("a", "b"):
@@ -495,7 +500,7 @@ def _drawn(members: DataFrame, roots: DataFrame, draw: int) -> tuple[DataFrame,
     )
     rooted = written(join_unique(rooted, heads, ["band"]).where("node != b"), "members")
     pairs = rooted.withColumnsRenamed({"node": "a", "root": "root_a", "size": "size_a"}).where("root_a != root_b").where(_alike())
-    return rooted.select("node", "band"), pairs.select(*_ENDS).distinct()
+    return rooted.select("node", "band"), pairs.select(*_ENDS)
 
 
 def hex_digits(fp: Column) -> Column:
