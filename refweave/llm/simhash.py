@@ -12,7 +12,7 @@ fingerprints there.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ JACCARD_WIDTH = 5  # words
 _MAP = 1 << 26  # bits
 BANDS, BAND = 24, 5  # a similarity of 0.8 misses all bands with probability 1e-4
 _MEMBERS = 256  # pairs of a hub that are compared in one task
+_MET = 1 << 19  # shingles of members of a band that meet in one task, about
+_MARKS = 1 << 16  # bits a set is marked with, at most
 _ENDS = ("a", "b", "root_a", "root_b")
 _MIXED = 1 << 13  # shingles whose hashes are mixed at a time
 _FACTORS, _TERMS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND, 1), np.uint64) | np.uint64(1)
@@ -338,15 +340,14 @@ def sketches(df: DataFrame, key: str, text: str, width: int, several: int) -> Da
     return df.select(F.col(key), text_of(text).alias("_text")).mapInArrow(run, schema)
 
 
-def _texts_of(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(_key, _text)`` of documents in ``pairs(a, b)`` and a few others.
+def _texts_of(wanted: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(_key, _text)`` of the documents ``wanted(n)`` and a few others.
 
     A bit map of hashed keys, of at most ``_MAP`` bits, keeps the texts of all other documents out of the shuffle.
     """
     at = F.pmod(F.xxhash64("n"), F.lit(_MAP))
     found = (
-        pairs.select(F.explode(F.array("a", "b")).alias("n"))
-        .groupBy(F.expr(f"pmod(xxhash64(n), {_MAP}) div 64").alias("at"))
+        wanted.groupBy(F.expr(f"pmod(xxhash64(n), {_MAP}) div 64").alias("at"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(n), {_MAP}) % 64 as int))")).alias("bits"))
         .toPandas()
     )
@@ -376,7 +377,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float
     sizes = pairs.groupBy("b").agg(F.count("*").alias("c"))
     part = F.pmod(F.xxhash64("a"), parts).cast("int").alias("part")
     pairs = written(join_unique(pairs, sizes, ["b"]).select("a", "b", part), "pairs")
-    texts = _texts_of(pairs, df, key, text)
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("n")), df, key, text)
     hubs = pairs.select("b", "part").distinct()
     hubs = join_unique(hubs, texts.withColumnRenamed("_key", "b"), ["b"]).select("b", "part", F.lit(None).cast("bigint").alias("a"), "_text")
     members = join_unique(pairs, texts.withColumnRenamed("_key", "a"), ["a"]).select("b", "part", "a", "_text")
@@ -411,11 +412,11 @@ def near_copies(
 
     Sets whose sizes alone keep them below ``LEAST`` are not compared.
     A document is compared with the candidate that it agrees with most often, and with the others only if that leaves them apart.
-    Members of a band are compared with its smallest node, and then, as long as they are not connected,
-    with nodes that are drawn anew for each band and round, until a round links nothing more.  A node that all of a band have met
-    leaves the band, a band in which all are connected is done, and no pair is compared twice.  Each round
-    takes one comparison a member and band, so a dense group stays linear.  A pair of similar texts can be missed only if in every
-    band that they share neither was drawn while the other was apart; texts of a dense group usually share most bands.
+    Members of a band are compared with its smallest node.  Where that leaves members apart, they meet in one task, which
+    compares those that are still apart unless marks of their sets show that they are not similar; so every two members of a band
+    that are similar are connected.  Bands too large for a task are cut into chunks, and every two chunks meet.  Before, the members of such a band
+    are compared with nodes that are drawn anew for each band and round, until a round links nothing more: one comparison
+    a member and band connects most of a dense group.  A node that all of a band have met leaves the band, and no pair of texts is compared twice.
     Texts without words are one text.
     """
     if several >= 1 << _KIND_BITS:
@@ -441,17 +442,12 @@ def near_copies(
     roots, _ = _connected(roots, best, df, key, text)
     others = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
     roots, _ = _connected(roots, _rooted(others, roots), df, key, text)
-    compared = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    members = agreed.select("node", "band")
-    for draw in itertools.count(1):
-        members, pairs = _drawn(members, roots, draw)
-        # The same pair may be drawn in several bands, and either way round.
-        pairs = _unordered(pairs, F.max(F.struct(*_ENDS)).alias("p")).join(compared, ["x", "y"], "left_anti").select("p.*")
-        pairs = written(pairs, "drawn")
-        roots, linked = _connected(roots, pairs, df, key, text)
-        if not linked:
-            break
-        compared = compared.unionByName(_unordered(pairs, F.count("*")).select("x", "y"))
+    members = written(_apart(agreed.select("node", "band"), roots).select("node", "band", "n"), "members")
+    large = members.where("n > 1").select("node", "band")
+    if not large.isEmpty():
+        large, roots = _thinned(large, roots, found, df, key, text)
+    members = members.where("n = 1").select("node", "band").unionByName(large)
+    roots, _ = _connected(roots, _met(members, roots, df, key, text), df, key, text)
     named = join_unique(nodes.select("same", "node"), roots, ["node"]).select("same", F.col("root").alias("component_id"))
     return join_unique(rows.select(key, "same"), named, ["same"]).select(key, "component_id")
 
@@ -485,6 +481,89 @@ def _connected(roots: DataFrame, pairs: DataFrame, df: DataFrame, key: str, text
     return written(join_unique(roots, moved, ["root"], "left").select("node", F.coalesce("to", "root").alias("root"), "size"), "roots"), True
 
 
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(node, band, root, size, n)`` of ``members(node, band)``: of bands with the same members one, none whose members are all connected.
+
+    Members of a band are met in ``n`` chunks.
+    """
+    rooted = join_unique(members, roots, ["node"])
+    chunks = F.ceil(F.greatest(F.sum("size") / _MET, F.count("*") / SHARD)).cast("int")
+    bands = rooted.groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), chunks.alias("n"),
+        F.struct(F.count("*"), *(F.bit_xor(F.xxhash64("node", F.lit(n))) for n in range(2))).alias("all"),
+    )
+    bands = bands.where("low < high").groupBy("all").agg(F.min(F.struct("band", "n")).alias("one")).select("one.*")
+    return join_unique(rooted, bands, ["band"])
+
+
+def _met(members: DataFrame, roots: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """Similar pairs ``(a, b, root_a, root_b)``, one for two roots, that connect all similar ``members(node, band)`` of a band."""
+    apart = written(_apart(members, roots), "apart")
+    # A chunk meets itself and each other one.
+    dealt = apart.withColumn("c", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    shard = F.xxhash64("band", F.least("c", "o"), F.greatest("c", "o"))
+    texts = _texts_of(apart.select(F.col("node").alias("n")), df, key, text).withColumnRenamed("_key", "node")
+    dealt = dealt.select(shard.alias("shard"), "node", "root", F.when(F.col("c") != F.col("o"), F.col("c")).alias("side"))
+    dealt = join_unique(dealt, texts, ["node"]).select("shard", "node", "root", "side", "_text")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in itertools.groupby(rows, lambda row: row[0]):
+            _, node, root, side, sets = zip(*((*row[:4], shingle_set(row[4])) for row in group), strict=True)
+            # A chunk that meets itself has no sides, so all its members are of different ones.
+            side = np.array([-1 - n if x is None else x for n, x in enumerate(side)])
+            found = [(node[i], node[j], root[i], root[j]) for i, j in similar(np.array(root), side, sets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ((),) * 4)], names=[*_ENDS])
+
+    pairs = dealt.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, ", ".join(f"{c} bigint" for c in _ENDS))
+    ends = [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")]
+    return written(pairs.groupBy(*ends).agg(F.min(F.struct(*_ENDS)).alias("p")).select("p.*"), "met")
+
+
+def similar(root: np.ndarray, side: np.ndarray, sets: Sequence[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of similar ``sets``, of different roots and sides, that connect all such pairs.
+
+    Each set has a bit for each of its hashes, of which several may share one.  A bit that only one set has stands for a
+    hash at least that only this one has, so two sets with too many of these are not similar.
+    """
+    sizes = np.array([len(s) for s in sets])
+    bits = min(_MARKS, max(64, 1 << int(8 * sizes.max(initial=1) - 1).bit_length()))
+    marks = np.zeros((len(sets), bits // 64), np.uint64)
+    for n, s in enumerate(sets):
+        mark = np.zeros(bits, bool)
+        mark[s & np.uint64(bits - 1)] = True
+        marks[n] = np.packbits(mark).view(np.uint64)
+    label = np.unique(root, return_inverse=True)[1]
+    for i in range(1, len(sets)):
+        others = np.flatnonzero((label[:i] != label[i]) & (side[:i] != side[i]))
+        others = others[np.minimum(sizes[others], sizes[i]) >= LEAST * np.maximum(sizes[others], sizes[i])]
+        own = np.bitwise_count(marks[i] & ~marks[others]).sum(axis=1, dtype=np.int64)
+        theirs = np.bitwise_count(marks[others] & ~marks[i]).sum(axis=1, dtype=np.int64)
+        both = np.minimum(sizes[i] - own, sizes[others] - theirs)
+        possible = both >= LEAST * (sizes[i] + sizes[others] - both)
+        for j in others[possible][np.argsort(-both[possible], kind="stable")].tolist():
+            if label[i] != label[j] and jaccard(sets[i], sets[j]) >= LEAST:
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
+def _thinned(
+    members: DataFrame, roots: DataFrame, found: DataFrame, df: DataFrame, key: str, text: str
+) -> tuple[DataFrame, DataFrame]:
+    """``members(node, band)`` that are left, and ``roots``, after rounds of comparisons with drawn nodes; ``found`` were compared before."""
+    compared = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    for draw in itertools.count(1):
+        members, pairs = _drawn(members, roots, draw)
+        # The same pair may be drawn in several bands, and either way round.
+        pairs = _unordered(pairs, F.max(F.struct(*_ENDS)).alias("p")).join(compared, ["x", "y"], "left_anti").select("p.*")
+        pairs = written(pairs, "drawn")
+        roots, linked = _connected(roots, pairs, df, key, text)
+        if not linked:
+            return members, roots
+        compared = compared.unionByName(_unordered(pairs, F.count("*")).select("x", "y"))
+
+
 def _drawn(members: DataFrame, roots: DataFrame, draw: int) -> tuple[DataFrame, DataFrame]:
     """One round: ``(node, band)`` of the ``members`` that are left, and pairs ``(a, b, root_a, root_b)`` to be compared.
 

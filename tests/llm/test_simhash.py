@@ -183,3 +183,62 @@ def test_no_pair_is_compared_twice(spark, monkeypatch):
     assert sum(b < 60 for _, b in pairs) <= 2 * 60
     sizes = [len(simhash.shingle_set(" ".join(words))) for words in rows]
     assert all(min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) for a, b in pairs)
+
+
+@pytest.mark.parametrize("chunk", [None, 8000])
+def test_dense_group_takes_few_comparisons_and_loses_no_link(spark, monkeypatch, chunk):
+    """Many texts with few to many edits of one text, most of them less similar than 0.8: links as by brute force."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(4000)]
+    base, rows = rng.choices(vocab, k=150), []
+    for n in range(400):
+        copy = list(base)
+        for _ in range(2 + n % 6):
+            copy[rng.randrange(150)] = rng.choice(vocab)
+        rows.append(" ".join(copy))
+    if chunk:
+        monkeypatch.setattr(simhash, "_MET", chunk)
+    compared, verified = [], simhash.verified
+
+    def counted(pairs, *args):
+        compared.append([tuple(sorted((r.a, r.b))) for r in pairs.collect()])
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    got = dict(map(tuple, simhash.near_copies(df, "id", "text").collect()))
+    sets = [simhash.shingle_set(t) for t in rows]
+    in_bands = [set(simhash.bands(s)) for s in sets]
+    near = [(i, j) for i in range(400) for j in range(i) if in_bands[i] & in_bands[j] and simhash.jaccard(sets[i], sets[j]) >= 0.8]
+    root = connected(list(range(400)), near)
+    assert [got[i] for i in range(400)] == root
+    assert len(set(root)) > 20
+    pairs = [p for found in compared for p in found]
+    assert len(pairs) == len(set(pairs))
+    # Members of a band that are still apart meet once; only bands too large for a task have rounds before.
+    assert len(compared) == 3 if not chunk else len(compared) > 3
+    assert len(compared[-1]) < 400
+
+
+def connected(root, pairs):
+    """Smallest node connected with each."""
+    for i, j in pairs:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def test_similar_sets_are_connected_whatever_their_sizes():
+    rng = np.random.default_rng(13)
+    base, sets = rng.integers(0, 2**64, 400, np.uint64), []
+    for _ in range(150):
+        own = rng.integers(0, 2**64, rng.integers(0, 70), np.uint64)
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[: rng.integers(300, 401)], own])))
+    sets += [np.unique(rng.integers(0, 2**64, 120_000, np.uint64))] * 2 + [base[:1], base[:1]]
+    root = np.arange(len(sets))
+    root[3] = 2  # connected already
+    for side in (np.arange(len(sets)), np.arange(len(sets)) % 2):
+        found = list(simhash.similar(root, side, sets))
+        assert all(simhash.jaccard(sets[i], sets[j]) >= 0.8 and side[i] != side[j] for i, j in found)
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if side[i] != side[j] and simhash.jaccard(sets[i], sets[j]) >= 0.8]
+        assert connected(root.tolist(), found) == connected(root.tolist(), near)
+        assert len(found) < len(sets) and len(found) < len(near)
