@@ -82,3 +82,20 @@ def test_other_tables_are_split_as_before(make, spark):
         assert len(_exchanges(joined)) == 3 and joined.count() == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_reports_are_streamed_a_few_at_once(spark, monkeypatch):
+    seen = []
+
+    class Done:
+        def awaitTermination(self):
+            raise InterruptedError
+
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    monkeypatch.setattr(registry.ig, "ingest", lambda *_: seen.append(spark.conf.get(name)) or Done())
+    before = spark.conf.get(name)
+    try:
+        registry.all_queries()["hooks"](spark, "/root/testdata/sf0.001")
+    except InterruptedError:
+        pass
+    assert int(seen[0]) <= 256 and spark.conf.get(name) == before
