@@ -99,3 +99,19 @@ def test_reports_are_streamed_a_few_at_once(spark, monkeypatch):
     except InterruptedError:
         pass
     assert int(seen[0]) <= 256 and spark.conf.get(name) == before
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dealt_tables_are_not_sent_to_the_driver(spark):
+    """Spark takes records, whose columns are mostly empty, for far smaller than they are."""
+    sf = "/root/testdata/sf0.001"
+    for name in ("symbol_usages", "symbol_definitions", "usage_answers", "usages_by_scope", "usages_in_view"):
+        assert "BroadcastExchange" not in _plan(registry.all_queries()[name](spark, sf)), name
+
+
+def test_small_tables_that_are_not_dealt_are_still_broadcast(make):
+    many = make(("var_usage", {"name": "a"}), ("var_usage", {"name": "b"}))
+    assert "MergeJoin" not in _plan(join_unique(many, many.limit(1).select("name"), ["name"]))
