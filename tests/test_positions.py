@@ -90,6 +90,19 @@ def test_long_regions_on_one_line(spark):
     assert long.select(F.explode(ps._wide_buckets())).count() <= 5 * long.count()
 
 
+def test_regions_are_scanned_once_to_see_what_kinds_there_are(spark):
+    """Widths of long regions, and whether any region goes over several rows, come from one pass."""
+    at = "project string, filename string, hit_pos bigint, idx_row int, start_row int, start_col int, end_row int, end_col int"
+    for rows_ in ([], [("p", "f", 1, 1, 1, 1, 1, 900)], [("p", "f", 2, 1, 1, 1, 3, 2)], [("p", "f", 1, 1, 1, 1, 1, 900), ("p", "f", 2, 1, 1, 1, 3, 2)]):
+        r = spark.createDataFrame([*rows_, ("p", "f", 0, 1, 1, 5, 1, 9)], at)
+        c = spark.createDataFrame([("p", "f", 0, 1, 7, 1, 7), ("p", "f", 1, 1, 800, 1, 800)],
+                                  "project string, filename string, cursor_id bigint, begin_row int, begin_col int, sel_end_row int, sel_end_col int")
+        pairs = ps.containing(r, c)
+        assert rows(pairs, "cursor_id", "hit_pos") == sorted([(0, 0), *((i, x[2]) for i in (0, 1) for x in rows_)], key=str)
+        found = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert found.count("collect_set") > 0 and "count(1)" not in found
+
+
 CONTENT = "(defn f [x]\n  (f x))\n(f 1)\n"
 
 

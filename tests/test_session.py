@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from refweave.operators import position as ps
+from refweave.operators import regions as rg
 from refweave.operators.joins import join_unique
 from refweave.plans import registry
 from refweave.session import derived_table, spread_text
@@ -115,3 +116,11 @@ def test_dealt_tables_are_not_sent_to_the_driver(spark):
 def test_small_tables_that_are_not_dealt_are_still_broadcast(make):
     many = make(("var_usage", {"name": "a"}), ("var_usage", {"name": "b"}))
     assert "MergeJoin" not in _plan(join_unique(many, many.limit(1).select("name"), ["name"]))
+
+
+def test_groups_are_sorted_by_a_hash(spark):
+    """Keys of one file begin alike, so a sort by them compares long strings."""
+    sf = "/root/testdata/sf0.001"
+    counts = rg.highlights(registry.carets(spark, sf), registry.region_groups(spark, sf))
+    joins = [line for line in _plan(counts).split("\n") if "SortMergeJoin" in line]
+    assert sum("SortMergeJoin [_h#" in line for line in joins) == 2
