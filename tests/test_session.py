@@ -124,3 +124,15 @@ def test_groups_are_sorted_by_a_hash(spark):
     counts = rg.highlights(registry.carets(spark, sf), registry.region_groups(spark, sf))
     joins = [line for line in _plan(counts).split("\n") if "SortMergeJoin" in line]
     assert sum("SortMergeJoin [_h#" in line for line in joins) == 2
+
+
+def test_requests_meet_their_carets_by_project(spark):
+    """All carets are asked which of them rename something, so they must not be dealt anew for that."""
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, _ = registry._rename_regions(spark, sf)
+        assert not [line for line in _exchanges(found) if "cursor_id" in line.split("Exchange ")[1]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
