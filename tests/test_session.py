@@ -136,3 +136,11 @@ def test_requests_meet_their_carets_by_project(spark):
         assert not [line for line in _exchanges(found) if "cursor_id" in line.split("Exchange ")[1]]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tables_are_dealt_to_tasks_of_less_text(spark, monkeypatch, tmp_path):
+    """Sorts and hash tables of a bucket are some hundred times its text."""
+    docs_of = spark.range(0, 100, 1, 1).selectExpr("id as doc_id", "repeat('x', 100) as text", "'en' as lang")
+    docs_of.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("refweave.plans.registry.DEALT_BYTES", 500)
+    assert registry._n_tasks(spark, str(tmp_path)) == 20
